@@ -2,9 +2,10 @@
 
 White space never enters a piece of these vocabularies, so a text's ids are its words' ids in order. Words are split and
 counted in Spark; every distinct word is encoded once; the ids return to each text by word position. A word that the
-corpus holds once is encoded where it stands, which is that once. The most frequent words (`head_words`, a fixed bound)
-travel as a broadcast; all further words that occur twice or more come back through a shuffled join, so the vocabulary
-may grow without bound.
+corpus holds once is encoded where it stands, which is that once. Words down to the count that `head_words` allows are
+broadcast as sorted hashes and flat ids, some 25 bytes a word; all rarer words that occur twice or more come back through
+a shuffled join, so the vocabulary may grow without bound. Ids become text by joining the table of pieces, whose size is
+the tokenizer's.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import as_bytes, fields, materialize, word_counts
+from verbatik.llm.common import as_bytes, expand, fields, materialize, squeeze, word_counts
 
-#: Words that are broadcast at most, and the longest of them in bytes: some 100 MB of Python objects a worker.
-HEAD_WORDS, HEAD_BYTES = 300_000, 64
+#: Words that are broadcast at most, the longest of them in bytes, and how many of them a worker finds by the word itself.
+HEAD_WORDS, HEAD_BYTES, HOT_WORDS = 2_000_000, 256, 60_000
 
 
 def default_tokenizer() -> str:
@@ -43,117 +44,177 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(id int, piece string) of the whole vocabulary; its size is the vocabulary's, not the corpus's."""
-    pieces = load_tokenizer(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(sorted((i, p) for p, i in pieces.items()), "id int, piece string")
+def pieces(path: str) -> list[bytes]:
+    """The piece of every id of the vocabulary."""
+    known = load_tokenizer(path).get_vocab(with_added_tokens=True)
+    out = [b""] * (max(known.values()) + 1)
+    for piece, i in known.items():
+        out[i] = piece.encode()
+    return out
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """words (word binary, n_all) with ids array<int> and the same as `le` binary: each row's word is encoded by itself."""
-    schema = fields(words.select("word", "n_all"), "ids array<int>, le binary")
+def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Every word that occurs twice or more: (word binary, n_all long, h long, ids binary), each encoded once and written."""
+    counted = word_counts(docs.select(text).withColumn("all", F.lit(True)), text, ["all"]).where("n_all > 1")
 
-    def encode(batches):
+    def run(batches):
         tokenizer = load_tokenizer(path)
         for batch in batches:
-            texts = [w.decode("utf-8") for w in batch.column("word").to_pylist()]
-            ids = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-            le = [np.asarray(x, "<u4").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n_all"), pa.array(ids, pa.list_(pa.int32())), pa.array(le, pa.binary())], names=["word", "n_all", "ids", "le"])
+            ids = [np.asarray(tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes() for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "n_all", "h", "ids"])
 
-    return words.select("word", "n_all").mapInArrow(encode, schema)
+    hashed = counted.select("word", "n_all", F.xxhash64("word").alias("h"))
+    return materialize(hashed.mapInArrow(run, "word binary, n_all long, h long, ids binary"), "bpe-words")
 
 
-def decode_ids(rows: DataFrame, key: str, path: str) -> DataFrame:
-    """rows (key, ids array<int>) with `decoded`: pieces joined to ids, and put together again by position with a space between."""
-    pieces = piece_table(rows.sparkSession, path)
-    long = rows.select(key, F.posexplode("ids").alias("pos", "id"))
-    joined = long.join(F.broadcast(pieces), "id", "left")
-    parts = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
-    return parts.select(key, F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
+def _cut(words: DataFrame, most: int) -> int:
+    """The least count that no more than `most` words have or exceed."""
+    room, cut = most, 1 << 62
+    for r in words.groupBy("n_all").agg(F.count("*").alias("n")).orderBy(F.desc("n_all")).toLocalIterator():
+        if r["n"] > room:
+            break
+        room, cut = room - r["n"], r["n_all"]
+    return cut
 
 
-def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every word that occurs twice or more: (word, n_all, le binary, decoded string), written once."""
-    counted = word_counts(docs.select(text).withColumn("all", F.lit(True)), text, ["all"])
-    encoded = materialize(encode_words(counted.where("n_all > 1"), path), "bpe-words")
-    decoded = decode_ids(encoded.where(F.size("ids") > 0), "word", path)
-    return materialize(encoded.drop("ids").join(decoded, "word", "left"), "bpe-table")
+class Head:
+    """The frequent words: hot ones by themselves, all by their hash; ids of word i are ids[edge[i]:edge[i + 1]]."""
+
+    def __init__(self, words: DataFrame):
+        hot = words.orderBy(F.desc("n_all"), "word").limit(HOT_WORDS).select("word", "h").toArrow()
+        got = words.select("h", "ids").toArrow()
+        h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        self.hash = h[order]
+        sizes = np.asarray([len(x) // 4 for x in got.column("ids").to_pylist()], np.int64)
+        self.edge = np.concatenate(([0], np.cumsum(sizes[order])))
+        column = got.column("ids").combine_chunks().take(pa.array(order))
+        self.ids = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.uint32)
+        at = np.searchsorted(self.hash, hot.column("h").to_numpy().astype(np.int64).view(np.uint64)).tolist()
+        self.hot = dict(zip(hot.column("word").to_pylist(), at, strict=True))
+
+
+class Finder:
+    """Places texts' words in the head; what is not there is numbered by text."""
 
+    def __init__(self, head: Head):
+        import xxhash
 
-def _head(words: DataFrame, head_words: int):
-    rows = words.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n_all"), "word").limit(head_words)
-    got = rows.select("word", "le", "decoded").toArrow()
-    return {w: i for i, w in enumerate(got.column("word").to_pylist())}, got.column("le").to_pylist(), as_bytes(got.column("decoded").combine_chunks())
+        self.head, self.digest = head, xxhash.xxh64_intdigest
+
+    def place(self, body: bytes | None) -> tuple[np.ndarray, list[bytes]]:
+        """The head index of every word, or -1-j for the text's j-th distinct missing word, and the missing words."""
+        words = (body or b"").split()
+        out = np.asarray([self.head.hot.get(w, -1) for w in words], np.int32)
+        open_ = np.flatnonzero(out < 0)
+        missing: dict[bytes, int] = {}
+        if len(open_):
+            own = [words[i] for i in open_.tolist()]
+            h = np.fromiter((self.digest(w, 42) for w in own), np.uint64, len(own))
+            found = np.full(len(own), -1, np.int64)
+            if len(self.head.hash):
+                at = np.minimum(np.searchsorted(self.head.hash, h), len(self.head.hash) - 1)
+                found = np.where(self.head.hash[at] == h, at, -1)
+            for j in np.flatnonzero(found < 0).tolist():
+                found[j] = -1 - missing.setdefault(own[j], len(missing))
+            out[open_] = found
+        return out, list(missing)
+
+    def ids(self, at: np.ndarray, missing: list[np.ndarray]) -> np.ndarray:
+        """The ids of a text from its words' places and the missing words' ids."""
+        edge, n = self.head.edge, len(self.head.edge) - 1
+        own_edge = np.concatenate(([0], np.cumsum([len(x) for x in missing]))) if missing else np.zeros(1, np.int64)
+        rare = at < 0
+        safe = np.where(rare, 0, at)
+        start = np.where(rare, own_edge[np.where(rare, -1 - at, 0)], edge[safe] if n else 0)
+        size = np.where(rare, np.diff(own_edge)[np.where(rare, -1 - at, 0)] if missing else 0, (edge[safe + 1] - edge[safe]) if n else 0)
+        ends = np.cumsum(size)
+        inner = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)
+        if not rare.any():
+            return self.head.ids[inner]
+        local, from_rare = np.concatenate(missing).astype(np.uint32), np.repeat(rare, size)
+        out = np.empty(len(inner), np.uint32)
+        out[from_rare], out[~from_rare] = local[inner[from_rare]], self.head.ids[inner[~from_rare]]
+        return out
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
-    """docs with `ids` (binary: little-endian unsigned 32-bit) and `decoded` (string), whole texts.
+    """docs without the text and with `ids` (binary: little-endian unsigned 32-bit) and `decoded` (string), of whole texts.
 
     Columns of docs named ids or decoded are replaced. A null or empty text has no ids and decodes to the empty string.
-    Repeated rows stay repeated. No column but the text is read.
+    Repeated rows stay repeated. No column but the text is looked at.
     """
     path = path or default_tokenizer()
     spark = docs.sparkSession
     docs = docs.drop(*(c for c in docs.columns if c in ("ids", "decoded") and c != text))
     words = word_table(docs, path, text)
-    index, head_ids, head_decoded = _head(words, head_words)
-    known, shown = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast((head_ids, head_decoded))
-    whole = words.count() <= len(index)
-
+    in_head = (F.col("n_all") >= _cut(words, head_words)) & (F.length("word") <= HEAD_BYTES)
+    head = spark.sparkContext.broadcast(Head(words.where(in_head)))
+    tail = words.where(~in_head)
     kept = [c for c in docs.columns if c != text]
-    packed_schema = fields(docs.select(*kept), "__key long, __at binary, __rare array<binary>")
+    schema = fields(docs.select(*kept), "ids binary, decoded string")
+
+    def once(word: bytes) -> np.ndarray:
+        return np.asarray(load_tokenizer(path).encode(word.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+
+    def finished(batch, ids: list[np.ndarray], piece):
+        decoded = [b" ".join([piece[i] for i in x.tolist()]) for x in ids]
+        arrays = [batch.column(c) for c in kept] + [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=[*kept, "ids", "decoded"])
+
+    def whole(batches):
+        finder, piece = Finder(head.value), pieces(path)
+        for big in batches:
+            for batch in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
+                placed = [finder.place(b) for b in as_bytes(batch.column(text))]
+                yield finished(batch, [finder.ids(at, [once(w) for w in missing]) for at, missing in placed], piece)
+
+    if not tail.limit(1).count():
+        return docs.select(*kept, text).mapInArrow(whole, schema)
 
     def pack(batches):
         import xxhash
 
-        look = known.value.get
+        finder = Finder(head.value)
+        for big in batches:
+            for batch in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
+                bodies = as_bytes(batch.column(text))
+                placed = [finder.place(b) for b in bodies]
+                keys = [xxhash.xxh3_64_intdigest(b or b"") - (1 << 63) for b in bodies]
+                arrays = [batch.column(c) for c in kept] + [pa.array(keys, pa.int64()), pa.array([squeeze(at) for at, _ in placed], pa.binary()), pa.array([m for _, m in placed], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "__key", "__at", "__rare"])
+
+    def unpack(batches):
+        finder, piece = Finder(head.value), pieces(path)
         for batch in batches:
-            keys, at, rare = [], [], []
-            for body in as_bytes(batch.column(text)):
-                missing: dict[bytes, int] = {}
-                out = [look(w) for w in (body or b"").split()]
-                if None in out:
-                    for i, w in enumerate(body.split()):
-                        if out[i] is None:
-                            out[i] = -1 - missing.setdefault(w, len(missing))
-                keys.append(xxhash.xxh3_64_intdigest(body or b"") - (1 << 63))
-                at.append(np.asarray(out, np.int32).tobytes())
-                rare.append(list(missing))
-            arrays = [batch.column(c) for c in kept] + [pa.array(keys, pa.int64()), pa.array(at, pa.binary()), pa.array(rare, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "__key", "__at", "__rare"])
-
-    packed = docs.mapInArrow(pack, packed_schema)
-    if whole:
-        ready = packed.withColumn("__found", F.lit(None).cast("array<struct<word:binary,le:binary,decoded:string>>"))
-    else:
-        heads = spark.createDataFrame([(bytearray(w),) for w in index], "word binary")
-        tail = words.join(heads, "word", "left_anti")
-        wanted = packed.select("__key", F.explode("__rare").alias("word")).distinct()
-        found = wanted.join(tail, "word").groupBy("__key").agg(F.collect_list(F.struct("word", "le", "decoded")).alias("__found"))
-        ready = packed.join(found, "__key", "left")
-    schema = fields(docs.select(*kept), "ids binary, decoded string")
+            ids = []
+            for at, rare, found in zip(*(batch.column(c).to_pylist() for c in ("__at", "__rare", "__found")), strict=True):
+                own = {f["word"]: np.frombuffer(f["ids"], "<u4") for f in found or ()}
+                ids.append(finder.ids(expand(at, np.int32), [own[w] if w in own else once(w) for w in rare]))
+            yield finished(batch, ids, piece)
 
-    def finish(batches):
-        tokenizer = load_tokenizer(path)
-        head, decoded_head = shown.value
+    packed = docs.select(*kept, text).mapInArrow(pack, fields(docs.select(*kept), "__key long, __at binary, __rare array<binary>"))
+    asked = packed.select("__key", F.explode("__rare").alias("word"))
+    found = asked.join(tail.select("word", "ids"), "word").groupBy("__key").agg(F.collect_set(F.struct("word", "ids")).alias("__found"))
+    return packed.join(found, "__key", "left").mapInArrow(unpack, schema)
+
+
+def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """rows with `decoded`: every id of the array or little-endian binary `ids` joined to its piece, by position, with a
+    space between. A null `ids` decodes to null; an id that is no piece's is an error."""
+    path = path or default_tokenizer()
+    rows = rows.drop(*(c for c in rows.columns if c == "decoded" and c != ids))
+    names, packed = rows.columns, rows.schema[ids].dataType.simpleString() == "binary"
+
+    def run(batches):
+        piece = pieces(path)
         for batch in batches:
-            ids, decoded = [], []
-            for at, rare, found in zip(batch.column("__at").to_pylist(), batch.column("__rare").to_pylist(), batch.column("__found").to_pylist(), strict=True):
-                own = {f["word"]: (f["le"], (f["decoded"] or "").encode()) for f in found or ()}
-                once = [w for w in rare if w not in own]
-                for w in once:
-                    e = tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids
-                    own[w] = (np.asarray(e, "<u4").tobytes(), tokenizer.decode(e, skip_special_tokens=False).encode())
-                order = [own[w] for w in rare]
-                positions = np.frombuffer(at, np.int32).tolist()
-                ids.append(b"".join([head[i] if i >= 0 else order[-1 - i][0] for i in positions]))
-                parts = [decoded_head[i] if i >= 0 else order[-1 - i][1] for i in positions]
-                decoded.append(b" ".join([p for p in parts if p]))
-            arrays = [batch.column(c) for c in kept] + [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "ids", "decoded"])
-
-    return ready.mapInArrow(finish, schema)
+            own = batch.column(ids).to_pylist()
+            lists = [x if x is None or not packed else np.frombuffer(x, "<u4").tolist() for x in own]
+            out = [None if x is None else b" ".join([piece[i] for i in x]) for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()).cast(pa.string())], names=[*names, "decoded"])
+
+    return rows.mapInArrow(run, fields(rows, "decoded string"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

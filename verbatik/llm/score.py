@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import as_bytes, discard, fold, materialize, shuffle_partitions, table, word_counts
+from verbatik.llm.common import as_bytes, discard, expand, fold, materialize, shuffle_partitions, squeeze, table, word_counts
 
 #: Frequent words that are broadcast with their counts, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
@@ -43,22 +43,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """An array as bytes, compressed plane by plane."""
-    import zstandard
-
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T if len(values) else np.zeros((0, 0), np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def expand(data: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
-
-
 def chunks(docs: DataFrame, index) -> DataFrame:
     """(chunk, doc_ids, folds, lengths, words, rare) of docs (doc_id, body, part): texts as ids of frequent words, or of the
     chunk's own rare words (negative), whose 64-bit hashes are in rare. Lengths are in words."""
