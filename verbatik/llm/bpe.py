@@ -86,10 +86,13 @@ class Head:
         h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(h)
         self.hash = h[order]
-        sizes = np.asarray([len(x) // 4 for x in got.column("ids").to_pylist()], np.int64)
-        self.edge = np.concatenate(([0], np.cumsum(sizes[order])))
-        column = got.column("ids").combine_chunks().take(pa.array(order))
-        self.ids = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.uint32)
+        column = got.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+        if len(column):
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            self.edge = (offsets - offsets[0]) // 4
+            self.ids = np.frombuffer(column.buffers()[2], "<u4")[offsets[0] // 4 : offsets[-1] // 4].astype(np.uint32)
+        else:
+            self.edge, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
         at = np.searchsorted(self.hash, hot.column("h").to_numpy().astype(np.int64).view(np.uint64)).tolist()
         self.hot = dict(zip(hot.column("word").to_pylist(), at, strict=True))
 
