@@ -4,5 +4,238 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from verbatik.functions import arrays, numbers, rewrite
+from verbatik.functions.tokens import SPACE, TOKEN, is_space, kind, token_array, tokens
+from verbatik.operators import lexicon, spans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# Voices and speeds of the job matrix.
+VOICES = "af_heart af_bella af_nicole am_adam am_michael bf_emma bm_george".split()
+SPEEDS = [0.9, 1.0, 1.1]
+PROCESSES = [(1, 0, 10), (2, 1, 20), (3, 1, 30), (4, 2, 40), (5, 4, 50), (6, 9, 60)]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _sql_cardinal(n: str) -> str:
+    """SQL of a cardinal, from the rule: groups of three digits, each with hundreds, tens and ones."""
+    ones, tens, scales = _list(numbers.ONES), _list(numbers.TENS), ["trillion", "billion", "million", "thousand", ""]
+
+    def group(g: str) -> str:
+        r = f"({g} % 100)"
+        return f"concat_ws(' ', CASE WHEN {g} >= 100 THEN {ones}[({g} // 100) + 1] || ' hundred' END, CASE WHEN {r} BETWEEN 1 AND 19 THEN {ones}[{r} + 1] WHEN {r} >= 20 THEN {tens}[{r} // 10 + 1] END, CASE WHEN {r} >= 20 AND {r} % 10 > 0 THEN {ones}[{r} % 10 + 1] END)"
+
+    parts = []
+    for i, scale in enumerate(scales):
+        g = f"((({n})::BIGINT // {1000 ** (4 - i)}) % 1000)"
+        parts.append(f"CASE WHEN {g} > 0 THEN {group(g)}" + (f" || ' {scale}'" if scale else "") + " END")
+    return f"CASE WHEN ({n}) = 0 THEN 'zero' ELSE concat_ws(' ', {', '.join(parts)}) END"
+
+
+@query(f"SELECT o_orderkey, {_sql_cardinal('o_orderkey')} AS words FROM orders")
+def cardinal_words(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", numbers.cardinal(F.col("o_orderkey")).alias("words"))
+
+
+@query(f"""WITH c AS (SELECT p_partkey, p_size, {_sql_cardinal('p_size')} AS w FROM part)
+SELECT p_partkey, p_size, regexp_replace(w, '[a-z]+$', '') || CASE regexp_extract(w, '[a-z]+$') WHEN 'one' THEN 'first' WHEN 'two' THEN 'second' WHEN 'three' THEN 'third' WHEN 'five' THEN 'fifth'
+WHEN 'eight' THEN 'eighth' WHEN 'nine' THEN 'ninth' WHEN 'twelve' THEN 'twelfth' ELSE CASE WHEN w LIKE '%y' THEN regexp_replace(regexp_extract(w, '[a-z]+$'), 'y$', 'ieth') ELSE regexp_extract(w, '[a-z]+$') || 'th' END END AS words FROM c""")
+def ordinal_words(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", "p_size", numbers.ordinal(F.col("p_size")).alias("words"))
+
+
+@query(f"""WITH y AS (SELECT o_orderkey, year(o_orderdate) AS y, year(o_orderdate) // 100 AS hi, year(o_orderdate) % 100 AS lo FROM orders)
+SELECT o_orderkey, CASE WHEN lo = 0 THEN ({_sql_cardinal('hi')}) || ' hundred' WHEN hi % 10 = 0 AND lo < 10 THEN ({_sql_cardinal('y')}) WHEN lo < 10 THEN ({_sql_cardinal('hi')}) || ' oh ' || ({_sql_cardinal('lo')})
+ELSE ({_sql_cardinal('hi')}) || ' ' || ({_sql_cardinal('lo')}) END AS words FROM y""")
+def year_words(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", numbers.year(F.year("o_orderdate")).alias("words"))
+
+
+@query(f"""WITH d AS (SELECT l_orderkey, l_linenumber, printf('%.2f', l_discount) AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, ({_sql_cardinal("split_part(s, '.', 1)::BIGINT")}) || ' point ' || ({_sql_cardinal('s[-2]::BIGINT')}) || ' ' || ({_sql_cardinal('s[-1]::BIGINT')}) AS words FROM d""")
+def decimal_words(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.decimal(F.format_string("%.2f", "l_discount")).alias("words"))
+
+
+_TOKENS = f"SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN.replace(chr(39), chr(39) * 2)}')) AS token, generate_subscripts(regexp_extract_all(text, '{TOKEN.replace(chr(39), chr(39) * 2)}'), 1) - 1 AS pos FROM documents"
+
+
+@query(f"SELECT doc_id, pos::INT AS pos, token, length(token)::INT AS len, coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM ({_TOKENS})")
+def token_offsets(spark, sf_dir):
+    return tokens(read(spark, sf_dir, "documents")).select("doc_id", "pos", "token", "len", F.col("start").cast("long").alias("start"))
+
+
+@query(f"SELECT count(*) AS n_docs, count(*) FILTER (WHERE array_to_string(regexp_extract_all(text, '{TOKEN.replace(chr(39), chr(39) * 2)}'), '') = text) AS n_same FROM documents")
+def token_roundtrip(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.agg(F.count("*").alias("n_docs"), F.count_if(F.array_join(token_array(F.col("text")), "") == F.col("text")).alias("n_same"))
+
+
+@query(f"SELECT doc_id, pos::INT AS pos, token, coalesce(CASE WHEN regexp_full_match(after, '[{SPACE}]+') THEN after END, '') AS ws FROM (SELECT *, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM ({_TOKENS})) WHERE NOT regexp_full_match(token, '[{SPACE}]+')")
+def trailing_whitespace(spark, sf_dir):
+    after = F.lead("token").over(Window.partitionBy("doc_id").orderBy("pos"))
+    rows = tokens(read(spark, sf_dir, "documents")).withColumn("after", after).where(~is_space(F.col("token")))
+    return rows.select("doc_id", "pos", "token", F.coalesce(F.when(is_space(F.col("after")), F.col("after")), F.lit("")).alias("ws"))
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}_]') THEN 'word' WHEN regexp_full_match(token, '[{SPACE}]+') THEN 'space' ELSE 'other' END AS kind, count(*) AS n FROM ({_TOKENS}) GROUP BY ALL")
+def token_kinds(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(token_array(F.col("text"))).alias("token"))
+    return rows.groupBy("doc_id", kind(F.col("token")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT lang, count(*) AS n_runs, count(DISTINCT token) AS n_distinct FROM (SELECT lang, unnest(regexp_extract_all(text, '{TOKEN.replace(chr(39), chr(39) * 2)}')) AS token FROM documents) WHERE regexp_full_match(token, '[A-Z]{{2,}}') AND token NOT IN ({', '.join(f"'{w}'" for w in rewrite.WORD_ACRONYMS)}) GROUP BY lang")
+def initialism_counts(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("lang", F.explode(token_array(F.col("text"))).alias("token"))
+    rows = rows.where(F.col("token").rlike("^[A-Z]{2,}$") & ~F.col("token").isin(rewrite.WORD_ACRONYMS))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_runs"), F.countDistinct("token").alias("n_distinct"))
+
+
+@query("SELECT page_id, length(html) AS n_chars, length(regexp_replace(html, '[~^\\\\|<>©·]', '', 'g')) AS n_kept FROM pages")
+def folded_characters(spark, sf_dir):
+    own = "~^\\|<>©·"
+    rows = read(spark, sf_dir, "pages")
+    return rows.select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(F.translate("html", own, "")).cast("long").alias("n_kept"))
+
+
+@query()
+def punctuation_fold(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", rewrite.fold_punctuation(F.col("text")).alias("folded"))
+
+
+@query("SELECT doc_id, m AS source, replace(replace(replace(split_part(m, '@', 1), '.', ' dot '), '-', ' dash '), '_', ' underscore ') || ' at ' || replace(replace(split_part(m, '@', 2), '.', ' dot '), '-', ' dash ') AS alias FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b')) AS m FROM documents)")
+def email_alias(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where(F.col("text").contains("@")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rewrite.EMAIL), F.lit(0))).alias("source"))
+    return rows.select("doc_id", "source", rewrite.email_alias(F.col("source")).alias("alias"))
+
+
+@query(r"SELECT doc_id, m AS source, array_to_string(list_transform(string_split(m, '.'), lambda o: array_to_string(regexp_extract_all(o, '.'), ' ')), ' dot ') AS alias FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9.])((?:\d{1,3}\.){3}\d{1,3})(?:[^0-9.]|$)', 1)) AS m FROM documents)")
+def ipv4_alias(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rewrite.IPV4), F.lit(0))).alias("source"))
+    return rows.select("doc_id", "source", rewrite.ipv4_alias(F.col("source")).alias("alias"))
+
+
+@query(r"SELECT doc_id, unnest(regexp_extract_all(text, '(\+?\d{1,2})?[ .-]?\(?(\d{3})\)?[ .-](\d{3})[ .-](\d{4})\b')) AS source FROM documents")
+def phone_spans(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rewrite.PHONE), F.lit(0))).alias("source"))
+
+
+_WORDS = f"(SELECT DISTINCT token AS word FROM ({_TOKENS}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}_]'))"
+_ENTRIES = "(VALUES " + ", ".join(f"({lexicon.TIERS.index(t)}, '{t}', '{w}', '{v}', {'NULL' if i is None else chr(39) + i + chr(39)})" for t, w, v, i in lexicon.ENTRIES) + ") AS e(tier_rank, tier, key, variant, ipa)"
+
+
+@query(f"""WITH w AS (SELECT * FROM {_WORDS} CROSS JOIN (VALUES ('VBD'), ('NOUN')) AS p(pos) UNION SELECT * FROM (VALUES ('Read', 'VBD'), ('READ', 'NOUN'), ('permit', 'VBP'), ('nulled', 'VBD'), ('BRYAN', 'NOUN'), ('thé', 'NOUN')) AS x(word, pos)),
+f AS (SELECT word, pos, form, key FROM w, LATERAL (SELECT unnest([1, 2, 3, 4]) AS form, unnest([word, lower(word), strip_accents(word), lower(strip_accents(word))]) AS key)),
+h AS (SELECT f.*, e.tier_rank, e.tier, e.variant, e.ipa FROM f JOIN {_ENTRIES} USING (key)),
+o AS (SELECT *, min(form) OVER (PARTITION BY word, pos, tier_rank) AS least FROM h),
+s AS (SELECT *, CASE WHEN variant = '-' THEN 0 WHEN variant = pos THEN 1 WHEN variant = 'VERB' AND pos IN ('VBD', 'VBP', 'VBN') THEN 2 WHEN variant = 'DEFAULT' THEN 3 END AS step FROM o WHERE form = least),
+b AS (SELECT * FROM s WHERE step IS NOT NULL AND ipa IS NOT NULL QUALIFY row_number() OVER (PARTITION BY word, pos ORDER BY tier_rank, step) = 1)
+SELECT w.word, w.pos, b.tier, b.variant, b.ipa FROM w LEFT JOIN b ON b.word = w.word AND b.pos = w.pos""")
+def lexicon_tier_resolve(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.explode(token_array(F.col("text"))).alias("word")).where(kind(F.col("word")) == "word").distinct()
+    tagged = rows.select("word", F.explode(F.array(F.lit("VBD"), F.lit("NOUN"))).alias("pos"))
+    probes = spark.createDataFrame([("Read", "VBD"), ("READ", "NOUN"), ("permit", "VBP"), ("nulled", "VBD"), ("BRYAN", "NOUN"), ("thé", "NOUN")], "word string, pos string")
+    return lexicon.resolve(tagged.union(probes).distinct(), lexicon.lexicon(spark))
+
+
+@query("SELECT tier, count(*) AS n, count(DISTINCT key) AS n_words FROM " + _ENTRIES + " GROUP BY tier")
+def tier_counts(spark, sf_dir):
+    return lexicon.lexicon(spark).groupBy("tier").agg(F.count("*").alias("n"), F.countDistinct("word").alias("n_words"))
+
+
+_CLAIMED = f"(SELECT doc_id, start, start + length(token) AS stop FROM (SELECT *, coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM ({_TOKENS})) WHERE regexp_full_match(token, '[A-Z]{{2,}}'))"
+_LONG = "(SELECT doc_id, (i * 100)::BIGINT AS start, (i * 100 + 100)::BIGINT AS stop FROM documents, LATERAL (SELECT unnest(range(0, length(text) // 100)) AS i))"
+_SPANS = "SELECT a.doc_id, a.start, a.stop FROM " + _LONG + " a WHERE @ EXISTS (SELECT 1 FROM " + _CLAIMED + " b WHERE a.doc_id = b.doc_id AND a.start < b.stop AND b.start < a.stop)"
+
+
+def _claimed_and_windows(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    claimed = tokens(docs).where(F.col("token").rlike("^[A-Z]{2,}$")).select("doc_id", "start", (F.col("start") + F.col("len")).alias("stop"))
+    n = F.floor(F.length("text") / 100)
+    windows = docs.where(F.length("text") >= 100).select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("doc_id", (F.col("i") * 100).alias("start"), (F.col("i") * 100 + 100).alias("stop"))
+    return windows, claimed
+
+
+@query(_SPANS.replace("@", "NOT"))
+def span_anti_join(spark, sf_dir):
+    return spans.unclaimed(*_claimed_and_windows(spark, sf_dir))
+
+
+@query(_SPANS.replace("@", ""))
+def span_coverage(spark, sf_dir):
+    return spans.covered(*_claimed_and_windows(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, pos::INT AS pos, token, before IN ('is', 'was', 'ist', 'est', 'es') AS vetoed FROM (SELECT *, lag(lower(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ({_TOKENS}) WHERE NOT regexp_full_match(token, '[{SPACE}]+')) WHERE before IS NOT NULL")
+def copula_veto(spark, sf_dir):
+    rows = tokens(read(spark, sf_dir, "documents")).where(~is_space(F.col("token")))
+    rows = rows.withColumn("before", F.lag(F.lower("token")).over(Window.partitionBy("doc_id").orderBy("pos")))
+    return rows.where(F.col("before").isNotNull()).select("doc_id", "pos", "token", F.col("before").isin("is", "was", "ist", "est", "es").alias("vetoed"))
+
+
+@query(f"""WITH t AS (SELECT *, sum(CASE WHEN token IN ('.', '!', '?', ';', ':', ',') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS clause FROM ({_TOKENS})),
+w AS (SELECT doc_id, pos, clause, token FROM t WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}_]'))
+SELECT doc_id, pos::INT AS pos, token, lead(token) OVER (PARTITION BY doc_id, clause ORDER BY pos) AS next_word FROM w""")
+def next_word(spark, sf_dir):
+    rows = tokens(read(spark, sf_dir, "documents"))
+    mark = F.when(F.col("token").isin(".", "!", "?", ";", ":", ","), 1).otherwise(0)
+    rows = rows.withColumn("clause", F.sum(mark).over(Window.partitionBy("doc_id").orderBy("pos"))).where(kind(F.col("token")) == "word")
+    return rows.select("doc_id", "pos", "token", F.lead("token").over(Window.partitionBy("doc_id", "clause").orderBy("pos")).alias("next_word"))
+
+
+@query(f"SELECT v AS voice, s::DOUBLE AS speed, row_number() OVER (ORDER BY v, s)::INT AS job FROM (SELECT unnest({_list(VOICES)}) AS v), (SELECT unnest({SPEEDS}) AS s)")
+def job_matrix(spark, sf_dir):
+    both = spark.createDataFrame([(v,) for v in VOICES], "voice string").crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in SPEEDS], "speed double")))
+    return both.select("voice", "speed", F.row_number().over(Window.orderBy("voice", "speed")).alias("job"))
+
+
+@query("SELECT event_type, count(*) AS n, max(user_id) AS peak, (sum(user_id) // count(*))::BIGINT AS mean FROM events GROUP BY event_type")
+def throughput_by_type(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("user_id").alias("peak"), F.expr("sum(user_id) div count(*)").alias("mean"))
+
+
+@query("WITH RECURSIVE p AS (SELECT * FROM (VALUES " + ", ".join(map(str, PROCESSES)) + ") AS x(pid, ppid, rss)), c AS (SELECT pid, rss FROM p WHERE pid = 1 UNION SELECT p.pid, p.rss FROM p JOIN c ON p.ppid = c.pid) SELECT count(*) AS n, sum(rss)::BIGINT AS rss FROM c")
+def process_closure(spark, sf_dir):
+    spark.createDataFrame(PROCESSES, "pid int, ppid int, rss long").createOrReplaceTempView("verbatik_processes")
+    return spark.sql("WITH RECURSIVE c(pid, rss, depth) AS (SELECT pid, rss, 0 FROM verbatik_processes WHERE pid = 1 UNION ALL SELECT p.pid, p.rss, c.depth + 1 FROM verbatik_processes p JOIN c ON p.ppid = c.pid WHERE c.depth < 50) SELECT count(*) AS n, sum(rss) AS rss FROM (SELECT DISTINCT pid, rss FROM c)")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: abs(v) * least(1, (i - 1) / 10.0) * least(1, (len(embedding) - i) / 10.0))), 3) AS level FROM embeddings")
+def microfade(spark, sf_dir):
+    faded = arrays.microfade(F.col("embedding"), 1000, 10)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(faded, F.lit(0.0), lambda a, v: a + F.abs(v)), 3).alias("level"))
+
+
+@query("SELECT vec_id, (2 * len(embedding) + 200)::BIGINT AS n FROM embeddings")
+def silence_concat(spark, sf_dir):
+    joined = arrays.join_with_pauses([F.col("embedding"), F.col("embedding")], 1000, [200], 10)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.size(joined).cast("long").alias("n"))
+
+
+@query()
+def normalize_documents(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    return rewrite.normalize(docs, "text", "normalized").select("doc_id", "normalized")
+
+
