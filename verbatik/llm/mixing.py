@@ -75,23 +75,25 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: i
         rest += back * int(lengths[i])
     if rest <= 0:
         return taken
-    chosen = bounded_knapsack(lengths, counts - taken, min(rest, 2 * capacity))
-    return taken + chosen
+    room = min(rest, 2 * capacity)
+    return taken + bounded_knapsack(lengths, counts - taken, room, min(room, 256))
 
 
-def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Counts (at most `counts`) whose lengths sum to the largest reachable sum not above budget.
+def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, above: int = 0) -> np.ndarray:
+    """Counts (at most `counts`) whose lengths sum to the reachable sum nearest to budget, and not over it by more than above.
+    Of two as near the smaller sum is taken.
 
     reach[s] is the number of items of the current length that the first way to s needed; each length is one pass over the
     sums, and what first made s reachable is kept, so that the way back needs one row of integers.
     """
+    goal, budget = budget, budget + above
     first = np.full(budget + 1, -1, np.int64)
     first[0] = len(lengths)
     reachable = np.zeros(budget + 1, bool)
     reachable[0] = True
     for i in np.argsort(lengths, kind="stable"):
         size, left = int(lengths[i]), int(counts[i])
-        if size > budget or left <= 0 or reachable[budget]:
+        if size > budget or left <= 0 or reachable[goal]:
             continue
         width = -(-(budget + 1) // size) * size
         # used[s]: items of this length spent to reach s, counted along each residue class
@@ -104,7 +106,8 @@ def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np
         first[new] = i
         reachable |= new
     chosen = np.zeros(len(lengths), np.int64)
-    at = int(np.flatnonzero(reachable)[-1])
+    sums = np.flatnonzero(reachable)
+    at = int(sums[np.abs(sums - goal).argmin()])
     while at > 0:
         i = first[at]
         chosen[i] += 1
