@@ -121,7 +121,7 @@ def in_order(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
         heads = F.array(*(F.lit(g[0]) for g in groups))
         coarse = F.greatest(F.lit(1), F.size(F.filter(heads, lambda c: c <= F.col(key))))
         fine = F.element_at(F.array(*(F.array(*(F.lit(x) for x in g)) for g in groups)), coarse)
-        at = F.coalesce((coarse - 1) * width + F.size(F.filter(fine, lambda c: c <= F.col(key))) - 1, F.lit(last))
+        at = F.when(F.col(key).isNull(), F.lit(last)).otherwise((coarse - 1) * width + F.size(F.filter(fine, lambda c: c <= F.col(key))) - 1)
         starts = F.coalesce(F.element_at(fine, F.greatest(F.lit(1), F.size(F.filter(fine, lambda c: c <= F.col(key))))) == F.col(key), F.lit(False))
         first = F.coalesce(F.col(key) == F.lit(edges[0]), F.lit(False))
     rows = docs.select(*columns).withColumn("__range", at.cast("int"))
