@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from verbatik.llm.common import materialize, table
 
 #: Standard deviations in the error bound; rows that the centre is taken from at most.
-EPSILON, SAMPLE = 4.0, 4096
+EPSILON, SAMPLE = 3.0, 4096
 #: Queries that are broadcast at a time, and codes that are estimated together.
 QUERY_BLOCK, CODE_BLOCK = 4096, 1024
 
@@ -114,7 +114,7 @@ class Best:
 def _scan(batches, block: dict, rotations: dict[int, Rotation], k: int, epsilon: float):
     """The k best of every query of the block among the vectors of one task."""
     found = {n: Best(len(ids), k) for n, (ids, _) in block.items()}
-    stats = [0, 0]
+    filled = False
     for batch in batches:
         sizes = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
         all_values = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
@@ -124,8 +124,9 @@ def _scan(batches, block: dict, rotations: dict[int, Rotation], k: int, epsilon:
         scalars = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("norm", "correction", "centred")]
         for n, (query_ids, queries) in block.items():
             rotation, best = rotations[n], found[n]
-            turned = (queries @ rotation.matrix).astype(np.float32)
             shift, length = queries @ rotation.centre, np.sqrt((queries * queries).sum(axis=1))
+            # the bound of a pair in one product: unit query by scaled signs, and 1 by the error of the code
+            unit = np.concatenate((queries @ rotation.matrix / length[:, None], np.ones((len(queries), 1))), axis=1).astype(np.float32)
             whole = np.flatnonzero(sizes == n)
             for lo in range(0, len(whole), CODE_BLOCK):
                 at = whole[lo : lo + CODE_BLOCK]
@@ -140,18 +141,25 @@ def _scan(batches, block: dict, rotations: dict[int, Rotation], k: int, epsilon:
                 at, vectors = at[kept], vectors[kept].astype(np.float64)
                 ids, norm, correction, _ = all_ids[at], *(s[at] for s in scalars)
                 signs = np.unpackbits(np.frombuffer(b"".join(codes[i] for i in at), np.uint8).reshape(len(at), -1), axis=1, count=n).astype(np.float32) * 2 - 1
-                share = norm / np.maximum(correction, 1e-12)
-                estimate = (turned @ signs.T) * (share / np.sqrt(n))[None, :] + shift[:, None]
+                signs *= (norm / np.maximum(correction, 1e-12) / np.sqrt(n)).astype(np.float32)[:, None]
                 spread = norm * np.sqrt(np.maximum(0, 1 - correction**2)) / np.maximum(correction, 1e-12) / np.sqrt(max(1, n - 1))
-                error = epsilon * length[:, None] * spread[None, :] + 1e-5 * (length[:, None] * (norm + 1e-9)[None, :] + np.abs(shift)[:, None])
-                low = estimate - error
-                floor = best.floor()
-                if len(at) > k + 1:
-                    floor = np.maximum(floor, -np.partition(-low, k, axis=1)[:, k])
-                query, column = np.nonzero(estimate + error >= floor[:, None])
+                error = (epsilon * spread + 1e-5 * (norm + np.abs(rotation.centre).sum() + 1e-9)).astype(np.float32)
+                if not filled and len(at) > k + 1:
+                    # the first codes' best estimates are scored at once, so that the k-th best is known from the start
+                    top = np.argpartition(unit[:, :-1] @ signs.T, len(at) - k - 1, axis=1)[:, -k - 1 :]
+                    query, column = np.repeat(np.arange(len(queries)), k + 1), top.ravel()
+                    other = query_ids[query] != ids[column]
+                    query, column = query[other], column[other]
+                    sure = Best(len(queries), k)
+                    sure.add(query, ids[column], exact(queries[query], vectors[column]))
+                    floor, filled = sure.floor(), True
+                else:
+                    floor = best.floor()
+                limit = ((floor - shift) / length).astype(np.float32)
+                bound = unit @ np.concatenate((signs, error[:, None]), axis=1).T
+                query, column = np.nonzero(bound >= (limit - 1e-5 * np.abs(limit, where=np.isfinite(limit), out=np.zeros_like(limit)))[:, None])
                 other = query_ids[query] != ids[column]
                 query, column = query[other], column[other]
-                stats[0], stats[1] = stats[0] + estimate.size, stats[1] + len(query)
                 for i in range(0, len(query), 1 << 18):
                     q, c = query[i : i + (1 << 18)], column[i : i + (1 << 18)]
                     best.add(q, ids[c], exact(queries[q], vectors[c]))
