@@ -6,10 +6,11 @@ rank in each of k coordinates makes the signature. Two signatures agree in a coo
 weighted Jaccard similarity. Ranks are enumerated only as far as a set of its total weight needs, so a signature takes time
 in the order of k log k + elements.
 
-Documents with equal shingle sets form one class. Classes that share a band are compared with the least class of that band,
-and what is linked is merged. Every class that a band still holds apart from the band's main component is then compared with
-all that the band holds of other components, so no link between two classes that share a band is lost. Every link is a
-Jaccard similarity of `threshold` or more, counted on the whole shingle sets.
+Documents with equal shingle sets form one class. Classes that share a band are compared with that class of the band which
+meets most others in all its bands, the middle of a group of edited copies, and what is linked is merged. Every class that a
+band still holds apart from the band's main component is then compared with all that the band holds of other components,
+unless the shingles that only it has, or the sizes, rule a link out. So no link between two classes that share a band is
+lost. Every link is a Jaccard similarity of `threshold` or more, counted on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -236,6 +237,19 @@ def shingle_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame, words:
     return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many of its shingles no other row of sets (node, shingles) has; nodes without any have no row."""
+
+    def run(batches):
+        for batch in batches:
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                h = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h)], names=["node", "shingle"])
+
+    held = sets.select("node", "shingles").mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("node"))
+    return held.where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weighting: str = "set", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id) of every row of docs: the least id that it is linked to, over any number of links.
 
@@ -246,13 +260,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     drawn = materialize(sketch(docs, key, text, weighting, words, bands, rows), "dedup-sketch")
     groups = materialize(drawn.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "dedup-groups")
     members = groups.where(F.col("node").isNotNull()).select("node", "n", F.explode("bands").alias("band"))
-    least = members.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("m")).where("m > 1")
-    shared = materialize(members.join(least, "band").select("band", "node", "n", "rep"), "dedup-shared")
-    reps = groups.select(F.col("node").alias("rep"), F.col("n").alias("rep_n"))
-    close = lambda a, b: (F.col(a) >= F.col(b) * (threshold - 1e-9)) & (F.col(b) >= F.col(a) * (threshold - 1e-9))
-    first = shared.where("node <> rep").select("node", "n", "rep").distinct().join(reps, "rep")
-    first = first.where(close("n", "rep_n")) if weighting == "set" else first
-    first = materialize(first.select(F.col("rep").alias("a"), F.col("node").alias("b")), "dedup-pairs")
+    together = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    met = materialize(members.join(together, "band").select("band", "node", "n", "m"), "dedup-met")
+    degree = met.groupBy("node").agg(F.sum(F.col("m") - 1).alias("degree"))
+    top = met.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("top"))
+    shared = materialize(met.join(top, "band").select("band", "node", "n", (-F.col("top.minus")).alias("rep"), F.col("top.n").alias("rep_n")), "dedup-shared")
+    discard(met)
+    close = (F.col("n") >= F.col("rep_n") * (threshold - 1e-9)) & (F.col("rep_n") >= F.col("n") * (threshold - 1e-9))
+    first = shared.where((F.col("node") != F.col("rep")) & close).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+    first = materialize(first, "dedup-pairs")
     involved = shared.select("node").distinct()
     sets = materialize(shingle_sets(docs, key, text, involved, words), "dedup-sets")
     edges = materialize(verified(first, sets, threshold), "dedup-edges")
@@ -262,10 +278,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("band").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     apart = materialize(placed.join(main, "band"), "dedup-apart")
-    strays = apart.where("component <> main").select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-    others = apart.select("band", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
-    second = strays.join(others, "band").where("a_c <> b_c")
-    second = second.where(close("a_n", "b_n")) if weighting == "set" else second
+    # what only one class has it shares with none: overlap <= n - own, and a similarity of t needs t / (1 + t) of both sizes;
+    # classes that are ruled out so leave shingles to others as their own
+    able = apart
+    for _ in range(3):
+        own = own_shingles(sets.join(able.select("node").distinct(), "node", "left_semi"))
+        able = apart.join(able.select("node").distinct(), "node", "left_semi").join(own, "node", "left")
+        able = able.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.col("n") * threshold - 1e-9)
+        able = materialize(able, "dedup-able")
+    strays = able.where("component <> main").select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("most").alias("a_most"), F.col("component").alias("a_c"))
+    others = able.select("band", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("most").alias("b_most"), F.col("component").alias("b_c"))
+    enough = F.least("a_most", "b_most") >= (F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9
+    second = strays.join(others, (strays["band"] == others["band"]) & (F.col("a_c") != F.col("b_c")) & enough)
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = materialize(verified(second, sets, threshold), "dedup-edges")
     if more.limit(1).count():
