@@ -9,8 +9,8 @@ in the order of k log k + elements.
 Documents with equal shingle sets form one class. Classes that share a band are compared with that class of the band which
 meets most others in all its bands, the middle of a group of edited copies, and what is linked is merged. Every class that a
 band still holds apart from the band's main component is then compared with all that the band holds of other components,
-unless the shingles that only it has, or the sizes, rule a link out. So no link between two classes that share a band is
-lost. Every link is a Jaccard similarity of `threshold` or more, counted on the whole shingle sets.
+unless the shingles that only it has, what both have in common with the band's middle, or the sizes, rule a link out. So no
+link between two classes that share a band is lost. Every link is a Jaccard similarity of `threshold` or more, counted on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from verbatik.llm.common import as_bytes, discard, materialize, table
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 #: Word hashes that a task keeps.
 CACHE = 400_000
+#: Bits of the bitmap of ids that is broadcast (4 MB at most): with more ids it lets more rows pass to the exact join.
+ID_BITS = 1 << 25
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Rank strips: [0, 1/32), then doubling to 1, then of one unit each.
@@ -184,21 +186,35 @@ def sketch(docs: DataFrame, key: str, text: str, weighting: str = "set", words:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) whose shingle sets (node, shingles binary) have a Jaccard similarity of threshold or more."""
+def of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose node is one of nodes. A bitmap of hashed ids, of bounded size, spares most others the shuffle."""
+    place = F.pmod(F.xxhash64("node"), F.lit(ID_BITS))
+    spots = nodes.select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32767).alias("spot")).repartition("bucket")
+    bitmap = spots.groupBy("bucket").agg(F.bitmap_construct_agg("spot").alias("bits"))
+    is_set = F.expr("cast(conv(hex(substring(bits, cast(spot div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(spot % 8 as int)) <> 0")
+    near = rows.withColumns({"bucket": F.shiftright(place, 15), "spot": place.bitwiseAND(32767)}).join(F.broadcast(bitmap), "bucket").where(is_set)
+    return near.select(rows.columns).join(nodes, "node", "left_semi")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, a_n, b_n, both) of pairs (a, b): sizes of their shingle sets (node, shingles binary) and of the intersection."""
 
     def run(batches):
         for batch in batches:
-            good = []
+            found = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+                found.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+            counts = np.asarray(found, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c) for c in counts.T)], names=["a", "b", "a_n", "b_n", "both"])
+
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, a_n long, b_n long, both long")
+
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def linked(counted: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of overlaps() that have a Jaccard similarity of threshold or more."""
+    return counted.where(F.col("both") >= threshold * (F.col("a_n") + F.col("b_n") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,7 +249,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame, words:
                 part = batch.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingler.distinct(b).tobytes() for b in as_bytes(part.column("body"))], pa.binary())], names=["node", "shingles"])
 
-    rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("body")).join(nodes, "node", "left_semi")
+    rows = of_nodes(docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("body")), nodes)
     return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
@@ -271,30 +287,42 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     first = materialize(first, "dedup-pairs")
     involved = shared.select("node").distinct()
     sets = materialize(shingle_sets(docs, key, text, involved, words), "dedup-sets")
-    edges = materialize(verified(first, sets, threshold), "dedup-edges")
+    counted = materialize(overlaps(first, sets), "dedup-counted")
+    edges = materialize(linked(counted, threshold), "dedup-edges")
     labels = components(edges)
     # what a band holds besides its main component is compared with all of other components in it
-    placed = shared.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("band").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     apart = materialize(placed.join(main, "band"), "dedup-apart")
-    # what only one class has it shares with none: overlap <= n - own, and a similarity of t needs t / (1 + t) of both sizes;
-    # classes that are ruled out so leave shingles to others as their own
-    able = apart
-    for _ in range(3):
-        own = own_shingles(sets.join(able.select("node").distinct(), "node", "left_semi"))
-        able = apart.join(able.select("node").distinct(), "node", "left_semi").join(own, "node", "left")
-        able = able.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.col("n") * threshold - 1e-9)
-        able = materialize(able, "dedup-able")
-    strays = able.where("component <> main").select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("most").alias("a_most"), F.col("component").alias("a_c"))
-    others = able.select("band", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("most").alias("b_most"), F.col("component").alias("b_c"))
-    enough = F.least("a_most", "b_most") >= (F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9
-    second = strays.join(others, (strays["band"] == others["band"]) & (F.col("a_c") != F.col("b_c")) & enough)
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(verified(second, sets, threshold), "dedup-edges")
+    # a shingle that one class alone has is shared with none: overlap <= n - own. Of the middle's shingles two classes share
+    # at most what either has of them, of others at most what either has besides its own. A similarity of t needs an overlap
+    # of t / (1 + t) of both sizes
+    looked_at = apart.select("node").unionByName(apart.select(F.col("rep").alias("node"))).distinct()
+    own = own_shingles(of_nodes(sets, looked_at))
+    common = counted.select(F.col("a").alias("least"), F.col("b").alias("most"), "both")
+    able = apart.join(own, "node", "left").withColumns({"own": F.coalesce("own", F.lit(0)), "least": F.least("node", "rep"), "most": F.greatest("node", "rep")}).join(common, ["least", "most"], "left").drop("least", "most")
+    able = able.withColumn("within", F.when(F.col("node") == F.col("rep"), F.col("n") - F.col("own")).otherwise(F.coalesce("both", F.least("n", "rep_n"))))
+    able = able.withColumn("beyond", F.when(F.col("node") == F.col("rep"), F.lit(0)).when(F.col("both").isNull(), F.col("n") - F.col("own")).otherwise(F.col("n") - F.col("both") - F.col("own")))
+    able = able.withColumn("most", F.least(F.col("n") - F.col("own"), F.col("within") + F.col("beyond"))).where(F.col("most") >= F.col("n") * threshold - 1e-9)
+    able = materialize(able.select("band", "node", "n", "component", "main", "within", "beyond", "most"), "dedup-able")
+    share = threshold / (1 + threshold)
+    # the same bound against the least of sizes and the most of shingles in the band leaves out what can meet no other
+    bounds = able.groupBy("band").agg(F.min("n").alias("n_min"), F.max("within").alias("within_max"), F.max("beyond").alias("beyond_max"))
+    reach = F.least(F.col("most"), F.least("within", "within_max") + F.least("beyond", "beyond_max"))
+    least_n = F.greatest(F.col("n_min").cast("double"), F.col("n") * threshold)
+    strays = able.where("component <> main").join(bounds, "band").where(reach >= (F.col("n") + least_n) * share - 1e-6)
+    strays = strays.select("band", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "component", "within", "beyond", "most")))
+    others = able.select("band", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "within", "beyond", "most")))
+    reach = F.least("a_most", "b_most", F.least("a_within", "b_within") + F.least("a_beyond", "b_beyond"))
+    second = strays.join(others, (strays["band"] == others["band"]) & (F.col("a_component") != F.col("b_component")) & (reach >= (F.col("a_n") + F.col("b_n")) * share - 1e-6))
+    second = second.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = materialize(second, "dedup-pairs")
+    ends = second.select(F.col("a").alias("node")).unionByName(second.select(F.col("b").alias("node"))).distinct()
+    more = materialize(linked(overlaps(second, of_nodes(sets, ends)), threshold), "dedup-edges")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
-    for done in (sets, apart, shared, first):
+    for done in (sets, apart, able, shared, first, second, counted):
         discard(done)
     known = groups.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("class_id"))
     return drawn.select("id", "d1", "d2").join(known, ["d1", "d2"], "left").select("id", "class_id")
