@@ -193,7 +193,8 @@ def of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     bitmap = spots.groupBy("bucket").agg(F.bitmap_construct_agg("spot").alias("bits"))
     is_set = F.expr("cast(conv(hex(substring(bits, cast(spot div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(spot % 8 as int)) <> 0")
     near = rows.withColumns({"bucket": F.shiftright(place, 15), "spot": place.bitwiseAND(32767)}).join(F.broadcast(bitmap), "bucket").where(is_set)
-    return near.select(rows.columns).join(nodes, "node", "left_semi")
+    # an inner join with distinct ids: a semi join would be moved below the bitmap
+    return near.select(rows.columns).join(nodes.select("node").distinct(), "node")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
