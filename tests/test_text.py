@@ -62,6 +62,21 @@ def test_other_numbers(spark):
         (rewrite.times, "at 9:30", 'at <say-as interpret-as="time">9:30</say-as>'),
         (rewrite.fold_punctuation, "a -- b... ‘c’ [d]", "a — b… 'c' (d)"),
         (rewrite.closed, "done", "done."),
+        (rewrite.ordinals, '<sub alias="x">1st</sub> 1st', '<sub alias="x">1st</sub> <sub alias="first">1st</sub>'),
+        (rewrite.romans, "Chapter IV, Part MMMMM", 'Chapter <sub alias="four">IV</sub>, Part MMMMM'),
+        (rewrite.dimensions, "8.5 x 11", '<sub alias="eight point five by eleven">8.5 x 11</sub>'),
+        (rewrite.years, "the 1990s, In 1984 and May 2005", 'the <sub alias="nineteen nineties">1990s</sub>, In <sub alias="nineteen eighty four">1984</sub> and May <sub alias="two thousand five">2005</sub>'),
+        (rewrite.course_codes, "Biology 101", 'Biology <sub alias="one oh one">101</sub>'),
+        (rewrite.ranges, "250–500 ms, 1990—1999", '<sub alias="two hundred fifty to five hundred milliseconds">250–500 ms</sub>, <sub alias="nineteen ninety to nineteen ninety nine">1990—1999</sub>'),
+        (rewrite.units, "a 200 mg tube, 200 mg of it, 1 kg", 'a <sub alias="two hundred milligram">200 mg</sub> tube, <sub alias="two hundred milligrams">200 mg</sub> of it, <sub alias="one kilogram">1 kg</sub>'),
+        (rewrite.fractions, "8/10 on 4/20/2025", '<sub alias="eight out of ten">8/10</sub> on 4/20/2025'),
+        (rewrite.ratios, "2:1", '<sub alias="two to one">2:1</sub>'),
+        (rewrite.parentheses, "a (b) c (d). [e](/f/)", "a — b — c — d. [e](/f/)"),
+        (rewrite.clauses, "He came, and left; I stayed", "He came — and left — I stayed"),
+        (rewrite.clauses, "a" * 190 + " — b — and more words.", "a" * 190 + " — b; and more words."),
+        (rewrite.urls, "see www.x-1.io/a_b.", 'see <sub alias="www x dash one dot io slash a underscore b">www.x-1.io/a_b</sub>.'),
+        (rewrite.meridiem_times, "at 5:30 a.m. My 6:47 p.m. then", 'at <sub alias="5 30 A M. …">5:30 a.m.</sub> My <sub alias="6 47 P M">6:47 p.m.</sub> then'),
+        (rewrite.room_codes, "Apt. 4B, not 98F", 'Apt. <sub alias="4 bee">4B</sub>, not 98F'),
     ],
 )
 def test_stage(spark, stage, text, out):

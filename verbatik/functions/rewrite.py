@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verbatik.functions.numbers import cardinal, digit_words, grouped_cardinal, ordinal
+from verbatik.functions.numbers import cardinal, decade, decimal, digit_words, grouped_cardinal, ordinal, range_end, roman, year
 
 # Capital runs that are read as words, and letter names.
 WORD_ACRONYMS = "NASA NATO UNICEF UNESCO OPEC DARPA FEMA FIFA IKEA INTERPOL SCUBA LASER RADAR SONAR MODEM TASER GIF JPEG MPEG JSON SWAT SEAL AIDS SARS COVID EBOLA ASAP AWOL SNAFU FUBAR NIMBY WASP YOLO YAML".split()
@@ -42,6 +42,16 @@ FOLDED = {
     " ": "~^\\|<>～＾｜＜＞†‡§¶•·±÷©®™→←↑↓↔↕",
 }
 
+# Units with their singular and plural, words before a year, month names, nouns before a Roman numeral.
+UNITS = {"GHz": ("gigahertz", "gigahertz"), "MHz": ("megahertz", "megahertz"), "kHz": ("kilohertz", "kilohertz"), "Hz": ("hertz", "hertz"), "ms": ("millisecond", "milliseconds"), "mg": ("milligram", "milligrams"), "kg": ("kilogram", "kilograms"), "lbs": ("pounds", "pounds"), "lb": ("pound", "pounds"), "oz": ("ounce", "ounces"), "ml": ("milliliter", "milliliters"), "cm": ("centimeter", "centimeters"), "mm": ("millimeter", "millimeters"), "km": ("kilometer", "kilometers"), "mph": ("miles per hour", "miles per hour")}
+YEAR_CUES = "in since by before after around circa during through until till year of from between".split()
+MONTHS = "January February March April May June July August September October November December".split()
+ROMAN_CUES = "Chapter Chapters Volume Volumes Vol Part Parts Act Acts Book Books Scene Scenes Article Articles Appendix Section Sections Figure Figures Table Tables Episode Episodes Stage Stages".split()
+# Nouns before a room code, letters as read there, top-level domains.
+ROOM_CUES = "apartment apt room rm gate exit building bldg suite ste flat unit floor fl lab block bay office studio box door zone".split()
+ROOM_LETTERS = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ay,bee,see,dee,ee,eff,gee,aitch,eye,jay,kay,ell,em,en,oh,pee,cue,are,ess,tee,you,vee,double you,ex,why,zee".split(","), strict=True))
+DOMAINS = "com org net edu gov mil int biz info io co us uk eu de fr jp cn ca au nz ru br mx es it nl ai dev app xyz".split()
+
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(\+?\d{1,2})?[ .-]?\(?(\d{3})\)?[ .-](\d{3})[ .-](\d{4})\b"
 IPV4 = r"(?<![0-9.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![0-9.])"
@@ -54,6 +64,16 @@ def splice(text: Column, pattern: str, mapped: Callable[[Column], Column]) -> Co
     return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
+def guarded(text: Column, pattern: str, mapped: Callable[[Column], Column]) -> Column:
+    """As splice, but what an earlier rule has put into a span stays; a match mapped to null stays too."""
+    both = rf'<sub\b[^>]*>[^<]*</sub>|{pattern}'
+    return F.when(text.rlike(pattern), splice(text, both, lambda m: F.when(m.startswith("<sub"), m).otherwise(F.coalesce(mapped(m), m)))).otherwise(text)
+
+
+def literal_map(values: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+
+
 def sub(alias: Column, source: Column) -> Column:
     return F.concat(F.lit('<sub alias="'), alias, F.lit('">'), source, F.lit("</sub>"))
 
@@ -144,7 +164,128 @@ def temperatures(text: Column) -> Column:
 
 
 def ordinals(text: Column) -> Column:
-    return splice(text, r"(?<![A-Za-z0-9<>])\d+(?:st|nd|rd|th)(?![A-Za-z0-9])", lambda m: sub(ordinal(F.regexp_extract(m, r"(\d+)", 1).try_cast("long")), m))
+    return guarded(text, r"(?<![A-Za-z0-9<>])\d+(?:st|nd|rd|th)(?![A-Za-z0-9])", lambda m: sub(ordinal(F.regexp_extract(m, r"(\d+)", 1).try_cast("long")), m))
+
+
+def number_words(s: Column) -> Column:
+    return F.when(s.contains("."), decimal(s)).otherwise(F.coalesce(cardinal(s.try_cast("long")), s))
+
+
+def after_cue(m: Column, alias: Callable[[Column], Column]) -> Column:
+    """A match of a cue, white space and a last word: the cue stays, the last word becomes a span."""
+    last = F.regexp_extract(m, r"(\w+)$", 1)
+    return F.concat(F.regexp_extract(m, r"(?s)^(.*?)\w+$", 1), sub(alias(last), last))
+
+
+def romans(text: Column) -> Column:
+    value = lambda s: F.when(roman(s) <= 3999, cardinal(roman(s)))
+    return guarded(text, rf"\b(?:{'|'.join(ROMAN_CUES)})\s+[IVXLCDM]{{1,6}}\b", lambda m: after_cue(m, value))
+
+
+def dimensions(text: Column) -> Column:
+    side = lambda m, i: number_words(F.regexp_extract(m, r"^([0-9.]+)\s*[x×]\s*([0-9.]+)$", i))
+    return splice(text, r"(?<![0-9A-Za-z<>])\d+(?:\.\d+)?\s*[x×]\s*\d+(?:\.\d+)?(?![0-9A-Za-z])", lambda m: sub(F.concat(side(m, 1), F.lit(" by "), side(m, 2)), m))
+
+
+def years(text: Column) -> Column:
+    """Decades, then years after a cue word, then years after a month."""
+    own = r"(?:1[0-9]|20)\d{2}"
+    text = splice(text, rf"(?i)\b{own}s\b", lambda m: sub(decade(year(F.left(m, F.lit(4)).try_cast("long"))), m))
+    for cues in (YEAR_CUES, MONTHS):
+        text = splice(text, rf"(?i)\b(?:{'|'.join(cues)})\s+{own}\b", lambda m: after_cue(m, lambda s: year(s.try_cast("long"))))
+    return text
+
+
+def course_codes(text: Column) -> Column:
+    def read(s: Column) -> Column:
+        digit = lambda i: cardinal(F.substring(s, i, 1).try_cast("long"))
+        oh = lambda i: F.when(F.substring(s, i, 1) == "0", F.lit("oh")).otherwise(digit(i))
+        return F.concat_ws(" ", digit(1), oh(2), oh(3))
+
+    return guarded(text, r"(?<![A-Za-z])[A-Z][A-Za-z]{2,}\s+\d{3}(?![0-9A-Za-z–—])", lambda m: after_cue(m, read))
+
+
+def ranges(text: Column) -> Column:
+    own = rf"(\d+(?:\.\d+)?)\s*[–—]\s*(\d+(?:\.\d+)?)(?:\s?({'|'.join(UNITS)}))?"
+    plural = literal_map({k: many for k, (_, many) in UNITS.items()})
+    part = lambda m, i: F.regexp_extract(m, f"^{own}$", i)
+    return splice(text, rf"(?<![0-9A-Za-z<>]){own}(?![0-9A-Za-z])", lambda m: sub(F.concat_ws(" ", range_end(part(m, 1)), F.lit("to"), range_end(part(m, 2)), F.element_at(plural, part(m, 3))), m))
+
+
+def units(text: Column) -> Column:
+    """A number and a unit: in the singular before a noun (any word but "of" and "per") and after a one."""
+    one, many = (literal_map({k: v[i] for k, v in UNITS.items()}) for i in (0, 1))
+    own = rf"(\d+(?:,\d{{3}})*)(?:\.(\d+))?\s?({'|'.join(UNITS)})"
+    part = lambda m, i: F.regexp_extract(m, f"^{own}$", i)
+    words = lambda m: F.concat_ws(" ", F.coalesce(grouped_cardinal(part(m, 1)), part(m, 1)), F.when(part(m, 2) != "", F.concat(F.lit("point "), digit_words(part(m, 2)))))
+    single = lambda m: (part(m, 2) == "") & F.replace(part(m, 1), F.lit(","), F.lit("")).rlike("^0*1$")
+    start, noun = r"(?<![0-9A-Za-z<>])", r"(?=\s+(?!(?i:of|per)(?![A-Za-z]))[A-Za-z])"
+    text = guarded(text, f"{start}{own}(?![A-Za-z0-9]){noun}", lambda m: sub(F.concat_ws(" ", words(m), F.element_at(one, part(m, 3))), m))
+    return guarded(text, f"{start}{own}(?![A-Za-z0-9])", lambda m: sub(F.concat_ws(" ", words(m), F.when(single(m), F.element_at(one, part(m, 3))).otherwise(F.element_at(many, part(m, 3)))), m))
+
+
+def _two_numbers(m: Column, mark: str, between: str) -> Column:
+    sides = F.split(m, mark)
+    return F.concat(cardinal(sides[0].try_cast("long")), F.lit(between), cardinal(sides[1].try_cast("long")))
+
+
+def fractions(text: Column) -> Column:
+    return guarded(text, r"(?<![0-9A-Za-z<>/])\d{1,3}/\d{1,3}(?![0-9/])", lambda m: sub(_two_numbers(m, "/", " out of "), m))
+
+
+def ratios(text: Column) -> Column:
+    return guarded(text, r"(?<![0-9A-Za-z:<>])\d+:\d+(?![0-9:])", lambda m: sub(_two_numbers(m, ":", " to "), m))
+
+
+def parentheses(text: Column) -> Column:
+    """Asides between dashes; the second dash goes before the end of a sentence."""
+    aside = r"(?<!\])\((?!/)([^()]+)\)"
+    return F.regexp_replace(F.regexp_replace(text, aside + "(?=[.!?])", "— $1"), aside, "— $1 —")
+
+
+def clauses(text: Column) -> Column:
+    """Dashes for commas before connectives and participles; a semicolon for the last dash of a long sentence without one."""
+    text = F.regexp_replace(text, r"(?i),\s+(and|but|or|so|yet|nor|then|however|therefore|meanwhile|still)\s+", " — $1 ")
+    text = F.regexp_replace(text, r",\s+([a-z]+(?:ed|ing))\s+", " — $1 ")
+    sentences = F.split(text, r"""(?<=[.!?])(?=[ \t\n]+(?:[A-Z"']|\z))""")
+    marked = lambda s: F.regexp_replace(s, r"\d+:\d+|https?://", "").rlike("[;:]")
+    text = F.array_join(F.transform(sentences, lambda s: F.when((F.length(s) > 200) & ~marked(s), F.regexp_replace(s, r"(?s) ?—(?!.*—)", ";")).otherwise(s)), "")
+    return F.regexp_replace(text, r";\s+([aAI])(?=\s|[.,!?])", " — $1")
+
+
+def url_alias(s: Column) -> Column:
+    for pattern, by in ((r"(?i)https://", "https "), (r"(?i)http://", "http "), (r"(?i)www\.", "www "), (r":(\d+)", " colon $1")):
+        s = F.regexp_replace(s, pattern, by)
+    domain, rest = F.regexp_extract(s, r"(?s)^([^/]*)", 1), F.regexp_extract(s, r"(?s)^[^/]*(/.*)$", 1)
+    s = F.concat(F.replace(domain, F.lit("."), F.lit(" dot ")), rest)
+    for mark, name in (("/", "slash"), ("-", "dash"), ("_", "underscore"), ("?", "question mark"), ("=", "equals"), ("&", "and"), ("%", "percent")):
+        s = F.replace(s, F.lit(mark), F.lit(f" {name} "))
+    for digit, name in enumerate("oh one two three four five six seven eight nine".split()):
+        s = F.replace(s, F.lit(str(digit)), F.lit(f" {name} "))
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def urls(text: Column) -> Column:
+    ends = "|".join(sorted(DOMAINS, key=lambda d: (-len(d), d)))
+    found = rf"""(?i)(?<![@A-Za-z0-9])(?:https?://|www\.)?[A-Za-z0-9][A-Za-z0-9.-]*\.(?:{ends})\b(?::\d+)?(?:/[^\s"'<>]*)?"""
+    closing = r"[.,;:!?)\]}]*$"
+    core = lambda m: F.regexp_replace(m, closing, "")
+    return splice(text, found, lambda m: F.concat(sub(url_alias(core(m)), core(m)), F.regexp_extract(m, f"({closing})", 1)))
+
+
+def meridiem_times(text: Column) -> Column:
+    """A time with a.m. or p.m. as one span; a pause follows it where a sentence begins."""
+    own = r"(?<![A-Za-z0-9])\d{1,2}:\d{2}\s+[aApP]\.[mM]\.(?![A-Za-z0-9])"
+    part = lambda m, i: F.regexp_extract(m, r"^(\d+):(\d+)\s+(.)", i)
+    alias = lambda m: F.concat_ws(" ", part(m, 1), part(m, 2), F.upper(part(m, 3)), F.lit("M"))
+    text = splice(text, own + r"(?=\s{1,2}[A-Z])", lambda m: sub(F.concat(alias(m), F.lit(". …")), m))
+    return guarded(text, own, lambda m: sub(alias(m), m))
+
+
+def room_codes(text: Column) -> Column:
+    letters = literal_map(ROOM_LETTERS)
+    own = rf"(?<![A-Za-z.])\.*(?i:{'|'.join(ROOM_CUES)})(?:\.+[ \t]*|[ \t]+)\d+[A-Z](?![A-Za-z0-9])"
+    return splice(text, own, lambda m: after_cue(m, lambda s: F.concat(F.regexp_extract(s, r"^(\d+)", 1), F.lit(" "), F.element_at(letters, F.right(s, F.lit(1))))))
 
 
 def codes(text: Column) -> Column:
@@ -167,7 +308,7 @@ def closed(text: Column) -> Column:
 
 
 #: The stages that are built, in their order.
-STAGES = (fold_punctuation, emails, phones, compounds, technical, iso_dates, times, ipv4, money, percents, temperatures, ordinals, codes, initialisms, slashes)
+STAGES = (fold_punctuation, parentheses, clauses, emails, urls, phones, compounds, technical, meridiem_times, iso_dates, times, ipv4, money, percents, temperatures, romans, dimensions, years, course_codes, ranges, units, fractions, ratios, ordinals, room_codes, codes, initialisms, slashes)
 
 
 def normalize(df, text: str, out: str):
