@@ -179,8 +179,14 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def sample_lines(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
-    """The first 20 lines of up to 400 characters of `rows` texts at most, spread by hash; a bounded sample for `unknown`."""
-    got = docs.orderBy(F.xxhash64(text)).limit(rows).select(F.slice(F.split(F.left(F.col(text), F.lit(4000)), "\n"), 1, 20).alias("lines")).collect()
+    """The first 20 lines of up to 400 characters of `rows` different texts at most, those of the least hashes; a bounded
+    sample for `unknown`. Only hashes are ranked, so that no text but those of the sample leaves its executor."""
+    hashed = F.xxhash64(text)
+    cut = docs.select(hashed.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if cut is None:
+        return []
+    head = F.slice(F.split(F.left(F.col(text), F.lit(4000)), "\n"), 1, 20)
+    got = docs.where(hashed <= cut).groupBy(hashed.alias("h")).agg(F.first(head).alias("lines")).orderBy("h").collect()
     return [x[:400] for r in got for x in r["lines"] or []]
 
 
