@@ -187,13 +187,28 @@ def dimensions(text: Column) -> Column:
     return splice(text, r"(?<![0-9A-Za-z<>])\d+(?:\.\d+)?\s*[x×]\s*\d+(?:\.\d+)?(?![0-9A-Za-z])", lambda m: sub(F.concat(side(m, 1), F.lit(" by "), side(m, 2)), m))
 
 
+YEAR = r"(?:1[0-9]|20)\d{2}"
+
+
+def decades(text: Column) -> Column:
+    return splice(text, rf"(?i)\b{YEAR}s\b", lambda m: sub(decade(year(F.left(m, F.lit(4)).try_cast("long"))), m))
+
+
+def _years_after(text: Column, cues: list[str]) -> Column:
+    return splice(text, rf"(?i)\b(?:{'|'.join(cues)})\s+{YEAR}\b", lambda m: after_cue(m, lambda s: year(s.try_cast("long"))))
+
+
+def cued_years(text: Column) -> Column:
+    return _years_after(text, YEAR_CUES)
+
+
+def month_years(text: Column) -> Column:
+    return _years_after(text, MONTHS)
+
+
 def years(text: Column) -> Column:
-    """Decades, then years after a cue word, then years after a month."""
-    own = r"(?:1[0-9]|20)\d{2}"
-    text = splice(text, rf"(?i)\b{own}s\b", lambda m: sub(decade(year(F.left(m, F.lit(4)).try_cast("long"))), m))
-    for cues in (YEAR_CUES, MONTHS):
-        text = splice(text, rf"(?i)\b(?:{'|'.join(cues)})\s+{own}\b", lambda m: after_cue(m, lambda s: year(s.try_cast("long"))))
-    return text
+    """The three rules of years in one expression; STAGES has them apart, which keeps the plan small."""
+    return month_years(cued_years(decades(text)))
 
 
 def course_codes(text: Column) -> Column:
@@ -308,7 +323,7 @@ def closed(text: Column) -> Column:
 
 
 #: The stages that are built, in their order.
-STAGES = (fold_punctuation, parentheses, clauses, emails, urls, phones, compounds, technical, meridiem_times, iso_dates, times, ipv4, money, percents, temperatures, romans, dimensions, years, course_codes, ranges, units, fractions, ratios, ordinals, room_codes, codes, initialisms, slashes)
+STAGES = (fold_punctuation, parentheses, clauses, emails, urls, phones, compounds, technical, meridiem_times, iso_dates, times, ipv4, money, percents, temperatures, romans, dimensions, decades, cued_years, month_years, course_codes, ranges, units, fractions, ratios, ordinals, room_codes, codes, initialisms, slashes)
 
 
 def normalize(df, text: str, out: str):
