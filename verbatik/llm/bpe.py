@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import as_bytes, expand, fields, materialize, squeeze, word_counts
+from verbatik.llm.common import as_bytes, expand, fields, materialize, squeeze, trimmed, word_counts
 
 #: Words that are broadcast at most, the longest of them in bytes, and how many of them a worker finds by the word itself.
 HEAD_WORDS, HEAD_BYTES, HOT_WORDS = 2_000_000, 256, 60_000
+#: Distinct words that a counting task holds at a time.
+DISTINCT_WORDS = 150_000
 
 
 def default_tokenizer() -> str:
@@ -55,7 +57,7 @@ def pieces(path: str) -> list[bytes]:
 
 def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every word that occurs twice or more: (word binary, n_all long, h long, ids binary), each encoded once and written."""
-    counted = word_counts(docs.select(text).withColumn("all", F.lit(True)), text, ["all"]).where("n_all > 1")
+    counted = word_counts(docs.select(text).withColumn("all", F.lit(True)), text, ["all"], limit=DISTINCT_WORDS).where("n_all > 1")
 
     def run(batches):
         tokenizer = load_tokenizer(path)
@@ -64,7 +66,7 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "n_all", "h", "ids"])
 
     hashed = counted.select("word", "n_all", F.xxhash64("word").alias("h"))
-    return materialize(hashed.mapInArrow(run, "word binary, n_all long, h long, ids binary"), "bpe-words")
+    return materialize(hashed.mapInArrow(trimmed(run), "word binary, n_all long, h long, ids binary"), "bpe-words")
 
 
 def _cut(words: DataFrame, most: int) -> int:
@@ -89,7 +91,7 @@ class Head:
         column = got.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
         if len(column):
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            self.edge = (offsets - offsets[0]) // 4
+            self.edge = ((offsets - offsets[0]) // 4).astype(np.uint32)
             self.ids = np.frombuffer(column.buffers()[2], "<u4")[offsets[0] // 4 : offsets[-1] // 4].astype(np.uint32)
         else:
             self.edge, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -130,7 +132,7 @@ class Finder:
         rare = at < 0
         safe = np.where(rare, 0, at)
         start = np.where(rare, own_edge[np.where(rare, -1 - at, 0)], edge[safe] if n else 0)
-        size = np.where(rare, np.diff(own_edge)[np.where(rare, -1 - at, 0)] if missing else 0, (edge[safe + 1] - edge[safe]) if n else 0)
+        size = np.where(rare, np.diff(own_edge)[np.where(rare, -1 - at, 0)] if missing else 0, (edge[safe + 1] - edge[safe]) if n else 0).astype(np.int64)
         ends = np.cumsum(size)
         inner = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)
         if not rare.any():
@@ -173,7 +175,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
                 yield finished(batch, [finder.ids(at, [once(w) for w in missing]) for at, missing in placed], piece)
 
     if not tail.limit(1).count():
-        return docs.select(*kept, text).mapInArrow(whole, schema)
+        return docs.select(*kept, text).mapInArrow(trimmed(whole), schema)
 
     def pack(batches):
         import xxhash
@@ -196,10 +198,10 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
                 ids.append(finder.ids(expand(at, np.int32), [own[w] if w in own else once(w) for w in rare]))
             yield finished(batch, ids, piece)
 
-    packed = docs.select(*kept, text).mapInArrow(pack, fields(docs.select(*kept), "__key long, __at binary, __rare array<binary>"))
+    packed = docs.select(*kept, text).mapInArrow(trimmed(pack), fields(docs.select(*kept), "__key long, __at binary, __rare array<binary>"))
     asked = packed.select("__key", F.explode("__rare").alias("word"))
     found = asked.join(tail.select("word", "ids"), "word").groupBy("__key").agg(F.collect_set(F.struct("word", "ids")).alias("__found"))
-    return packed.join(found, "__key", "left").mapInArrow(unpack, schema)
+    return packed.join(found, "__key", "left").mapInArrow(trimmed(unpack), schema)
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -217,7 +219,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFr
             out = [None if x is None else b" ".join([piece[i] for i in x]) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()).cast(pa.string())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, fields(rows, "decoded string"))
+    return rows.mapInArrow(trimmed(run), fields(rows, "decoded string"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

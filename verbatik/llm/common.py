@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -84,11 +85,25 @@ def expand(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
 
 
-def word_counts(docs: DataFrame, text: str, flags: list[str], lower: bool = False) -> DataFrame:
+def trimmed(run):
+    """run, which maps batches, and after its last batch the task's freed memory goes back to the system: a Python worker
+    serves one stage after the other, and would keep the largest task's memory through all of them."""
+
+    def mapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return mapped
+
+
+def word_counts(docs: DataFrame, text: str, flags: list[str], lower: bool = False, limit: int = COUNTER_LIMIT) -> DataFrame:
     """Occurrences of every word of all texts: (word binary, n_<flag> long for each flag column).
 
     A word is a run of bytes other than space and \\t-\\r. flags are names of boolean columns; n_<flag> counts
-    the occurrences in rows where it is true. Words are counted within each task before the shuffle.
+    the occurrences in rows where it is true. Words are counted within each task before the shuffle, `limit` distinct
+    ones at a time.
     """
     schema = "word binary, " + ", ".join(f"n_{f} long" for f in flags)
 
@@ -110,9 +125,9 @@ def word_counts(docs: DataFrame, text: str, flags: list[str], lower: bool = Fals
                     if on not in counters:
                         counters[on] = Counter()
                     counters[on].update((body.lower() if lower else body).split())
-                    if len(counters[on]) > COUNTER_LIMIT:
+                    if len(counters[on]) > limit:
                         yield from flush()
         yield from flush()
 
-    rows = docs.select(F.col(text).alias("body"), *(F.col(f).alias(f) for f in flags)).mapInArrow(count, schema)
+    rows = docs.select(F.col(text).alias("body"), *(F.col(f).alias(f) for f in flags)).mapInArrow(trimmed(count), schema)
     return rows.groupBy("word").agg(*(F.sum(f"n_{f}").alias(f"n_{f}") for f in flags))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import as_bytes, discard, materialize, table
+from verbatik.llm.common import as_bytes, discard, materialize, table, trimmed
 
 #: Words in a shingle; least similarity; bands and rows of a band. At 0.8 a pair shares no band with probability 0.00007.
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
@@ -183,7 +183,7 @@ def sketch(docs: DataFrame, key: str, text: str, weighting: str = "set", words:
                         keys[i] = row
                 yield pa.RecordBatch.from_arrays([batch.column("id")[lo : lo + 256], pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["id", "d1", "d2", "n", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(trimmed(run), "id long, d1 long, d2 long, n long, bands array<long>")
 
 
 def of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c) for c in counts.T)], names=["a", "b", "a_n", "b_n", "both"])
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, a_n long, b_n long, both long")
+    return joined.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, a_n long, b_n long, both long")
 
 
 def linked(counted: DataFrame, threshold: float) -> DataFrame:
@@ -251,7 +251,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame, words:
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingler.distinct(b).tobytes() for b in as_bytes(part.column("body"))], pa.binary())], names=["node", "shingles"])
 
     rows = of_nodes(docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("body")), nodes)
-    return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return rows.mapInArrow(trimmed(run), "node long, shingles binary").dropDuplicates(["node"])
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def own_shingles(sets: DataFrame) -> DataFrame:
                 h = np.frombuffer(data, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h)], names=["node", "shingle"])
 
-    held = sets.select("node", "shingles").mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("node"))
+    held = sets.select("node", "shingles").mapInArrow(trimmed(run), "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("node"))
     return held.where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
 
 

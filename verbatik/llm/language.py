@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import fields, fold, table
+from verbatik.llm.common import fields, fold, table, trimmed
 
 #: Hash buckets of the n-grams; one more holds what spans two texts and weighs nothing.
 BUCKETS = 1 << 17
@@ -78,7 +78,7 @@ def bucket_counts(rows: DataFrame, text: str, label: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["label", "bucket", "n"])
 
     rows = rows.select(F.col(text).alias("body"), F.col(label).alias("label")).where(F.col("label").isNotNull())
-    return rows.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang") -> Model:
@@ -142,7 +142,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     lang[i], sure[i] = own.labels[b], min(1.0, p)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(trimmed(score), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
