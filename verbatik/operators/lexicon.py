@@ -43,3 +43,28 @@ def resolve(words: DataFrame, entries: DataFrame) -> DataFrame:
     best = fit.groupBy("word", "pos").agg(F.min(F.struct("tier_rank", "step", "tier", "variant", "ipa")).alias("b"))
     joined = words.join(best.select(F.col("word").alias("w"), F.col("pos").alias("p"), "b"), (F.col("word") == F.col("w")) & F.col("pos").eqNullSafe(F.col("p")), "left")
     return joined.select(*words.columns, F.col("b.tier").alias("tier"), F.col("b.variant").alias("variant"), F.col("b.ipa").alias("ipa"))
+
+
+def grow(entries: DataFrame) -> DataFrame:
+    """entries and, for each lower-case or capitalised word of two letters or more, the other form; a tier's own words win."""
+    low = F.lower("word")
+    capital = F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1 << 20))
+    other = F.when(F.length("word") < 2, None).when(F.col("word") == low, capital).when(F.col("word") == capital, low)
+    extra = entries.withColumn("other", other).where(F.col("other").isNotNull() & (F.col("other") != F.col("word")))
+    extra = extra.withColumn("word", F.col("other")).select(entries.columns)
+    return entries.unionByName(extra.join(entries.select("tier_rank", "word").distinct(), ["tier_rank", "word"], "left_anti").select(entries.columns))
+
+
+def invalid_scalars(entries: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Entries with `bad`, the first scalar of ipa that is not in the vocabulary; an empty vocabulary accepts all."""
+    known = F.array(*(F.lit(v) for v in vocabulary)).cast("array<string>")
+    bad = F.get(F.filter(F.split("ipa", ""), lambda c: ~F.array_contains(known, c)), F.lit(0))
+    return entries.withColumn("bad", bad).where(F.col("bad").isNotNull() & F.lit(bool(vocabulary)))
+
+
+def homographs(entries: DataFrame) -> DataFrame:
+    """(word, variants map): words with readings by tag, from the first tier that has them so, null readings left out."""
+    own = entries.where(F.col("variant") != "-")
+    first = own.groupBy("word").agg(F.min("tier_rank").alias("tier_rank"))
+    read = own.join(first, ["word", "tier_rank"]).where(F.col("ipa").isNotNull())
+    return read.groupBy("word").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("variant", "ipa")))).alias("variants"))

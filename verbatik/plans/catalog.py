@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbatik.functions import arrays, numbers, rewrite
+from verbatik.functions import arrays, chunks, numbers, rewrite
 from verbatik.functions.tokens import SPACE, TOKEN, is_space, kind, token_array, tokens
-from verbatik.operators import lexicon, spans
+from verbatik.operators import context, lexicon, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -239,3 +239,32 @@ def normalize_documents(spark, sf_dir):
     return rewrite.normalize(docs, "text", "normalized").select("doc_id", "normalized")
 
 
+
+
+@query("SELECT vec_id, (2 * len(embedding) - least(10, len(embedding) // 2))::BIGINT AS n FROM embeddings")
+def crossfade_concat(spark, sf_dir):
+    joined = arrays.crossfade(F.array("embedding", "embedding"), 1000, 10)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.size(joined).cast("long").alias("n"))
+
+
+@query(f"""WITH e AS (SELECT * FROM {_ENTRIES}), x AS (SELECT tier_rank, tier, CASE WHEN key = lower(key) THEN upper(key[1]) || key[2:] WHEN key = upper(key[1]) || lower(key[2:]) THEN lower(key) END AS word, variant, ipa FROM e WHERE length(key) >= 2)
+SELECT tier_rank, tier, key AS word, variant, ipa FROM e UNION ALL SELECT * FROM x WHERE word IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.key = x.word AND e.tier_rank = x.tier_rank)""")
+def lexicon_grow(spark, sf_dir):
+    return lexicon.grow(lexicon.lexicon(spark))
+
+
+@query(f"WITH e AS (SELECT *, min(tier_rank) OVER (PARTITION BY key) AS least FROM {_ENTRIES} WHERE variant <> '-') SELECT key AS word, string_agg(variant || '=' || ipa, ',' ORDER BY variant) AS readings FROM e WHERE tier_rank = least AND ipa IS NOT NULL GROUP BY key")
+def homograph_readings(spark, sf_dir):
+    pairs = F.transform(F.array_sort(F.map_entries("variants")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return lexicon.homographs(lexicon.lexicon(spark)).select("word", F.array_join(pairs, ",").alias("readings"))
+
+
+@query(f"SELECT token, count(*) AS n FROM ({_TOKENS}) WHERE regexp_matches(token, '^[\\p{{L}}]') AND (lower(token) IN ({', '.join(f"'{w}'" for w in context.PLURALS)}) OR (length(token) >= 3 AND lower(token) LIKE '%s' AND NOT regexp_matches(lower(token), '(ss|us|is)$'))) GROUP BY token")
+def plural_surfaces(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.explode(token_array(F.col("text"))).alias("token"))
+    return rows.where(F.col("token").rlike(r"^\p{L}") & context.plural_noun(F.col("token"))).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query()
+def speech_chunks(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.chunks(F.col("text"))).alias("pos", "chunk"))
