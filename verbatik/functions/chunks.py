@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SENTENCE = r"[^.;:!?]*[.;:!?]|[^.;:!?]+\z"
-EDGES = r"^[\t\p{Zs}]+|[\t\p{Zs}]+\z"
+SENTENCE = re.compile(r"[^.;:!?]*(?:[.;:!?]|\Z)")
+#: The tab and all space separators.
+BLANKS = "\t \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
-def _add(state: Column, part: Column, most: int) -> Column:
-    """state (chunks, open) with a part put into the open chunk, or into a new one where that would grow beyond `most`."""
-    longer = F.when(state["open"] == "", part).otherwise(F.concat(state["open"], F.lit(" "), part))
-    full = F.length(longer) > most
-    return F.struct(F.when(full, _closed(state)).otherwise(state["chunks"]).alias("chunks"), F.when(full, part).otherwise(longer).alias("open"))
+def pack(parts, most: int) -> list[str]:
+    """Parts joined by spaces, in order, into as few runs of at most `most` characters; a longer part stays whole."""
+    runs, held, size = [], [], 0
+    for part in parts:
+        if held and size + 1 + len(part) > most:
+            runs.append(" ".join(held))
+            held, size = [], 0
+        size += len(part) + (1 if held else 0)
+        held.append(part)
+    return [*runs, " ".join(held)] if held else runs
 
 
-def _closed(state: Column) -> Column:
-    return F.when(state["open"] == "", state["chunks"]).otherwise(F.concat(state["chunks"], F.array(state["open"])))
+def chunk_text(text: str, most: int) -> list[str]:
+    """A sentence of `most` characters or more is packed by words, apart from its neighbours."""
+    runs, short = [], []
+    for sentence in filter(None, (m.group().strip(BLANKS) for m in SENTENCE.finditer(text))):
+        if len(sentence) < most:
+            short.append(sentence)
+        else:
+            runs += [*pack(short, most), *pack(filter(None, sentence.split(" ")), most)]
+            short = []
+    return runs + pack(short, most)
 
 
 def chunks(text: Column, most: int = 140) -> Column:
-    """Chunks of at most `most` characters in order; a word that is longer stays whole. Null stays null, the empty text has none."""
-    none = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("open"))
-    sentences = F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, EDGES, "")), lambda s: s != "")
+    """Chunks of at most `most` characters in order; a word that is longer stays whole. Null stays null, the empty text has none.
 
-    def words(s: Column) -> Column:
-        return F.aggregate(F.filter(F.split(s, " "), lambda w: w != ""), none, lambda a, w: _add(a, w, most), _closed)
+    In Arrow batches: a fold by higher-order functions copies the chunks so far at every step, and long texts take its square.
+    """
 
-    def step(state: Column, s: Column) -> Column:
-        return F.when(F.length(s) >= most, F.struct(F.concat(_closed(state), words(s)).alias("chunks"), F.lit("").alias("open"))).otherwise(_add(state, s, most))
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else chunk_text(t, most))
 
-    return F.aggregate(sentences, none, step, _closed)
+    return run(text)
