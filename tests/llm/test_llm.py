@@ -78,6 +78,17 @@ def test_winnow_matches_are_found():
     assert set(winnow.winnow(a)[0].tolist()) & set(winnow.winnow(b)[0].tolist())
 
 
+def test_winnow_short_texts_keep_their_likeness():
+    rng = random.Random(4)
+    near = []
+    for n in [*range(24, 79)] * 4:
+        own, after = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for _ in range(2))
+        sets = [np.unique(winnow.winnow(t)[0]) for t in (own, own[: n - n // 4] + after[: n // 4], after)]
+        near.append(winnow.likeness(sets[0], sets[1]))
+        assert winnow.likeness(sets[0], sets[2]) == 0
+    assert np.mean(np.asarray(near) == 0) < 0.05 and np.median(near) > 0.4
+
+
 def test_winnow_order(spark, odd, empty):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = dict(sorted((r["doc_id"], r["text"]) for r in rows.collect()))

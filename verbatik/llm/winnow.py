@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from verbatik.llm.common import fields, shuffle_partitions, table
 
-#: k: code points in a gram; w: grams in a window. Matches of 79 code points are always found.
-GRAM, WINDOW = 16, 64
+#: k: code points in a gram; w: grams in a window. Matches of 15 code points are always found, so short texts have several hashes.
+GRAM, WINDOW = 8, 8
 #: Windows that are looked at together; bounds the memory that a very long text takes.
 BLOCK = 1 << 18
 
