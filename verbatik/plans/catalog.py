@@ -235,7 +235,7 @@ def silence_concat(spark, sf_dir):
 
 @query()
 def normalize_documents(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return rewrite.normalize(docs, "text", "normalized").select("doc_id", "normalized")
 
 
