@@ -183,6 +183,13 @@ def test_extract(spark):
     assert extract.extract(rows.limit(0)).count() == 0
 
 
+def test_extract_names():
+    for kept in ('<article class="post no-comments">x</article>', '<main class="has-sidebar">x</main>', '<article class="comments">x</article>', '<div class="sidebar"><article>x</article></div>', '<div class="top search"><h1>x</h1></div>', '<article><section id="related-work">x</section></article>', '<article><h2 id="share">x</h2></article>', '<h2 id="share-prices">x</h2>', *(f"<p><a {a}>x</a></p>" for a in ('href="/hidden-gems"', 'title="a hidden valley"', 'data-hidden="false"', 'href="/p?id=comments"', "href=/p?id=comments", 'data-class="ad"'))):
+        assert extract.main_text(kept) == "x", kept
+    for gone in ('<div class="box Sidebar">x</div>', "<p id=comments>x</p>", "<p hidden>x</p>", '<p aria-hidden="true">x</p>', '<p style="color:red; display: none">x</p>', '<div role="navigation">x</div>', '<article><div class="comments"><article>x</article></div></article>', '<div class="hero">x</div>', '<span class="ad">x</span>'):
+        assert extract.main_text(gone) == "", gone
+
+
 def test_licence(spark, odd, empty):
     model = licence.train(["The cat sat on the mat in the house.", "He got a new license to fish, version 3."])
     lines = [("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"), ("Released under the MIT License.", "mit"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("He has a driving license.", None), (None, None), ("", None)]
