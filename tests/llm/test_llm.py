@@ -190,6 +190,11 @@ def test_extract_names():
         assert extract.main_text(gone) == "", gone
 
 
+def test_extract_head_left_open():
+    for page in ("<html><head><title>t</title><body><p>x</p></body></html>", "<head><title>t</title><meta charset=utf-8><p>x</p>", "<head><script>s</script>x", "<head><noscript><link></noscript><div>x</div>", "<head><noscript><p>n</p><body>x", "<head><title>t</title></head><body>x"):
+        assert extract.main_text(page) == "x", page
+
+
 def test_licence(spark, odd, empty):
     model = licence.train(["The cat sat on the mat in the house.", "He got a new license to fish, version 3."])
     lines = [("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"), ("Released under the MIT License.", "mit"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("He has a driving license.", None), (None, None), ("", None)]
