@@ -53,6 +53,17 @@ def test_language(spark, odd, empty):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+def test_language_prior_does_not_outweigh_long_texts(spark):
+    log_p = np.zeros((language.BUCKETS + 1, 2), np.float32)
+    log_p[:-1] = -10, -9.9
+    model = language.Model(["hot", "rare"], log_p, np.log([0.9999, 0.0001]))
+    rows = spark.createDataFrame([("abc ",), ("abc " * 50,)], "text string")
+    got = {len(r["text"]): r for r in language.predict(rows, model).collect()}
+    assert (got[4]["lang_pred"], got[200]["lang_pred"]) == ("hot", "rare")
+    odds = np.exp(0.1 * language.EVIDENCE) * 0.0001 / 0.9999
+    assert got[200]["score"] == pytest.approx(odds / (1 + odds), rel=1e-3)
+
+
 def test_winnow():
     rng = random.Random(1)
     for _ in range(30):

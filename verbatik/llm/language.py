@@ -116,8 +116,8 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """rows with lang_pred and score in place of columns so named; only the text is looked at.
 
     lang_pred is `und` with score 0 where the text is null or has no letter, or nothing was learned. Otherwise it is the
-    label of the largest posterior (ties: first in code-point order), and score is that posterior with the evidence of
-    EVIDENCE n-grams at most.
+    label of the largest posterior over all n-grams (ties: first in code-point order), and score is the posterior that this
+    label has with the evidence of EVIDENCE n-grams at most.
     """
     rows = rows.drop(*(c for c in rows.columns if c in ("lang_pred", "score") and c != text))
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -135,9 +135,10 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for j in range(0, len(live), 256):
                 some = live[j : j + 256]
                 total, grams = _scores(own, [texts[i] for i in some])
+                best = (total + own.prior).argmax(axis=1)
                 total = total * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None] + own.prior
-                best = total.argmax(axis=1)
-                posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                likely = np.exp(total - total.max(axis=1, keepdims=True))
+                posterior = likely[np.arange(len(best)), best] / likely.sum(axis=1)
                 for i, b, p in zip(some, best.tolist(), posterior.tolist(), strict=True):
                     lang[i], sure[i] = own.labels[b], min(1.0, p)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "score"])
