@@ -215,6 +215,22 @@ def test_licence(spark, odd, empty):
     assert licence.scan(odd, model).count() == odd.count() and licence.scan(empty, model).count() == 0
 
 
+def test_licence_wrapped(spark):
+    model = licence.train(["The cat sat on the mat in the house.", "He got a new license to fish, version 3."])
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+        "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products",
+        "gpl-3.0": "# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n#\n# This program is distributed",
+        "apache-2.0": " * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0",
+        "unlicense": "This is free and unencumbered software\nreleased into the public domain.",
+    }
+    prose = "\n".join(f"prose of a run-on text, line {i}" for i in range(40))
+    rows = [(f, t) for f, t in texts.items()] + [(f, f"{prose}\n{t}\n{prose}") for f, t in texts.items()] + [("", f"{prose}\nHe has a driving\nlicense.")]
+    for r in licence.scan(spark.createDataFrame(rows, "family string, text string"), model).collect():
+        assert r["licences"] == [f for f in [r["family"]] if f], r["text"]
+
+
 def test_score(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     tokens = {r["doc_id"]: [*r["text"].encode().lower().split(), b""] for r in docs.collect()}

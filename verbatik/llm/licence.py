@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier in DataFrame functions only.
 
-Paragraphs are lines. A multinomial logistic regression over word 1- and 2-grams, trained here on licence notices written
+Paragraphs are lines, and for notices that are wrapped over lines also windows of words over the lines between blank ones:
+each of twice the words of the longest template, beginning at every such number of words, so that some window holds all of
+any notice whatever the lines' lengths. A multinomial logistic regression over word 1- and 2-grams, trained here on licence notices written
 out from a small grammar and on other lines, gives each paragraph a probability for every family and for `unknown`; the
 temperature and the offset of `unknown` are calibrated on notices and lines that training did not see. A family is reported
 only where the paragraph also holds most of the word pairs of one of its templates. Scoring is one row-local expression:
@@ -49,10 +51,10 @@ NAMES = {
 OPENINGS = ["Licensed under the {}", "Licensed under {}", "Released under the {}", "This work is licensed under the {}", "This work is licensed under a {}", "This project is released under the {}", "Distributed under the terms of the {}", "This program is made available under the {}", "License: {}", "SPDX-License-Identifier: {}", "{}", "The code is under the {}", "Available under the {}", "This document is published under {}"]
 OPENING_TEXTS = {
     "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "apache-2.0": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-2.0": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "http://www.apache.org/licenses/LICENSE-2.0"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
-    "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the copyright holder nor the names of its contributors may be used to endorse"],
+    "bsd-3-clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 # Lines that share words with notices and are none.
@@ -103,7 +105,8 @@ def train(lines: list[str], rounds: int = 400, rate: float = 1.0, penalty: float
     for i, (_, at) in enumerate(counted):
         x[i, list(at)] = 1
     y, times = np.asarray([f for f, _ in counted]), np.asarray(list(counted.values()), float)
-    seen = np.random.default_rng(0).random(len(y)) < 0.8
+    openings = {tuple(sorted(place[g] for g in grams(words(t)))) for own in OPENING_TEXTS.values() for t in own}
+    seen = (np.random.default_rng(0).random(len(y)) < 0.8) | np.asarray([at in openings for _, at in counted])  # each is the only one of its kind
     target = np.eye(len(families))[y]
     share = np.where(y == 0, times / times[y == 0].sum(), times / times[y != 0].sum()) * len(y) / 2
     w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
@@ -132,9 +135,10 @@ def train(lines: list[str], rounds: int = 400, rate: float = 1.0, penalty: float
 
 
 def classify(text: Column, model: Model) -> Column:
-    """array<struct<paragraph int, family, probability, confirmed>> of the lines of text that hold a word of licences.
+    """array<struct<paragraph int, family, probability, confirmed>> of the lines and windows of text that hold a word of licences.
 
-    Only native functions. A null text gives an empty array. Lines without such a word are `unknown` and left out.
+    Only native functions. A null text gives an empty array. Lines without such a word are `unknown` and left out. Windows
+    come after all lines and are numbered on from them; what fits in one line has no window.
     """
     strings = lambda xs: F.array(*(F.lit(x) for x in xs)).cast("array<string>")
     anchors, vocabulary = strings(model.anchors), strings(model.vocabulary)
@@ -142,8 +146,14 @@ def classify(text: Column, model: Model) -> Column:
     bias = F.array(*(F.lit(float(v)) for v in model.bias))
     names = strings(model.families)
     templates = F.array(*(F.struct(F.lit(f).alias("family"), strings(p).alias("pairs")) for f, p in model.templates))
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, i: F.struct(i.alias("i"), F.split(F.lower(line), "[^a-z0-9]+").alias("w")))
-    found = F.filter(lines, lambda x: F.arrays_overlap(x["w"], anchors))
+    body = F.coalesce(text, F.lit(""))
+    lines = F.transform(F.split(body, "\n"), lambda line, i: F.struct(i.alias("i"), F.split(F.lower(line), "[^a-z0-9]+").alias("w")))
+    step = max(len(p) + 1 for _, p in model.templates)
+    blocks = F.filter(F.split(body, r"\n(?:[^\p{L}\p{N}\n]*\n)+"), lambda b: F.trim(b).contains("\n"))
+    blocks = F.filter(F.transform(blocks, lambda b: F.split(F.lower(b), "[^a-z0-9]+")), lambda w: F.arrays_overlap(w, anchors))
+    windows = F.flatten(F.transform(blocks, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - step), F.lit(step)), lambda at: F.slice(w, at, 2 * step))))
+    windows = F.transform(windows, lambda w, i: F.struct((i + F.size(F.split(body, "\n"))).cast("int").alias("i"), w.alias("w")))
+    found = F.filter(F.concat(lines, windows), lambda x: F.arrays_overlap(x["w"], anchors))
 
     def scored(x: Column) -> Column:
         own = F.filter(x["w"], lambda w: w != "")
