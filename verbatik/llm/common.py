@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +20,60 @@ COUNTER_LIMIT = 300_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share, spark.checkpoint.dir.
+
+    Where it is unset a local session uses a folder of its own; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Scratch tables of the blocks of scratch_of() that are open, innermost last.
+_open: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once in the shared folder and read it back; lineage ends there, and a lost executor loses nothing."""
+    """Write df once in the shared folder and read it back; lineage ends there, and a lost executor loses nothing.
+
+    The table stays until discard(), or until the end of a block of scratch_of() around it.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch_of():
+    """A block at whose end the scratch tables that were made in it are deleted; what is to outlive it is made outside."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for made in _open.pop():
+            discard(made)
+
+
+@contextmanager
+def outlasting():
+    """A block whose scratch tables outlast the blocks of scratch_of() around it."""
+    held = _open[:]
+    _open.clear()
+    try:
+        yield
+    finally:
+        _open[:] = held
+
+
 def discard(df: DataFrame) -> None:
     """Delete a scratch table that nothing will read again."""
     path = getattr(df, "_scratch_path", None)
