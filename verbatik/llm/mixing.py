@@ -18,7 +18,7 @@ from verbatik.llm.common import materialize, table
 #: Weights of the sources in code-point order, repeating; words of the mix for each word of the sources; most copies of one.
 WEIGHTS, SHARE, COPIES = (3.0, 1.0, 2.0), 1.5, 2
 SEED = 20240101
-#: Words that the knapsack fits at most; the proportional part leaves less than the longest document and this together.
+#: Words that are left to the knapsack; its table has up to twice as many cells, and what is beyond is fitted before and after.
 CAPACITY = 1 << 15
 #: Parts that the documents of one source and length are ranked in.
 PARTS = 256
@@ -49,34 +49,64 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to budget as they can.
 
-    lengths: distinct and positive. The proportional part takes floor(count x fraction) of each length, the greedy part then
-    goes down the lengths, and the bounded knapsack gives back and refits up to `capacity` words exactly.
+    lengths: distinct and positive. floor(count x fraction) of each length are taken, then more from the longest down while
+    one fits. The shortest are given back until the bounded knapsack has words to fit; it fits them exactly. What is still
+    open after that (long documents leave more than the knapsack's width) is closed by single documents and by swaps of one
+    for another as long as that comes nearer. The sum may end on either side of budget; any lengths are dealt with.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     taken = np.floor(counts * (max(0, budget) / max(1, total))).astype(np.int64)
+    taken = _descend(lengths, counts, taken, budget)
     rest = budget - int((lengths * taken).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest < lengths[i]:
-            continue
-        if rest - int(lengths[i]) < capacity // 2 and taken.sum():
-            break
-        more = min(int(counts[i] - taken[i]), rest // int(lengths[i]))
-        taken[i] += more
-        rest -= more * int(lengths[i])
-    # short documents are given back until the knapsack has capacity words to fit
-    order = np.argsort(lengths, kind="stable")
-    for i in order:
-        if rest >= capacity // 2:
+    for i in np.argsort(lengths, kind="stable"):
+        if rest >= capacity // 2 or lengths[i] > capacity // 2:
             break
         back = min(int(taken[i]), -(-(capacity // 2 - rest) // int(lengths[i])))
         taken[i] -= back
         rest += back * int(lengths[i])
-    if rest <= 0:
-        return taken
-    room = min(rest, 2 * capacity)
-    return taken + bounded_knapsack(lengths, counts - taken, room, min(room, 256))
+    if rest > 0:
+        room = min(rest, 2 * capacity)
+        taken = taken + bounded_knapsack(lengths, counts - taken, room, min(room, 256))
+    return _swap(lengths, counts, _descend(lengths, counts, taken, budget), budget)
+
+
+def _descend(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int) -> np.ndarray:
+    """taken and as many more documents, the longest first, as fit below budget."""
+    taken, rest = taken.copy(), budget - int((lengths * taken).sum())
+    for i in np.argsort(-lengths, kind="stable"):
+        if 0 < lengths[i] <= rest:
+            more = min(int(counts[i] - taken[i]), rest // int(lengths[i]))
+            taken[i] += more
+            rest -= more * int(lengths[i])
+    return taken
+
+
+def _swap(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int, rounds: int = 64) -> np.ndarray:
+    """taken with one document more, one less, or one for another, the best such change at a time, while the sum comes nearer."""
+    taken = taken.copy()
+    zero = np.zeros(1, np.int64)
+    for _ in range(rounds):
+        rest = budget - int((lengths * taken).sum())
+        if rest == 0:
+            break
+        free, held = np.flatnonzero(counts > taken), np.flatnonzero(taken > 0)
+        add, drop = np.concatenate((zero, lengths[free])), np.concatenate((zero, lengths[held]))
+        order = np.argsort(add, kind="stable")
+        want = drop + rest
+        at = np.searchsorted(add[order], want)
+        sides = np.stack([np.clip(at - 1, 0, len(add) - 1), np.clip(at, 0, len(add) - 1)])
+        error = np.abs(want[None, :] - add[order][sides])
+        side, i = np.unravel_index(int(error.argmin()), error.shape)
+        if error[side, i] >= abs(rest):
+            break
+        j = int(order[sides[side, i]])
+        if j:
+            taken[free[j - 1]] += 1
+        if i:
+            taken[held[i - 1]] -= 1
+    return taken
 
 
 def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, above: int = 0) -> np.ndarray:
@@ -132,16 +162,19 @@ def plan(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy("source_key").applyInPandas(fit_source, schema)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, copies) for each row of docs (doc_id, text, source).
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*carry, size, source_size, target, copies) for each row of docs (doc_id, text, source).
 
-    A null text has size 0 and is taken as often as its source's passes say. A null source is a source of its own, last.
-    Repeated rows count each. Further columns are not looked at.
+    carry names columns that tell rows apart; the seeded hash that chooses among rows of one length is of them. A null text
+    has size 0 and is taken as often as its source's passes say. A null source is a source of its own, last. Repeated rows
+    count each, and null ids are values like others. Further columns are not looked at; an empty table gives no rows.
     """
+    carry = [*carry]
     key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("source_key", key).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id")), "mix-sizes")
+    rows = docs.select(*carry, F.col("source").alias("__source"), key.alias("__key"), word_count(F.col("text")).alias("size"))
+    sized = materialize(rows.withColumn("__h", F.xxhash64(F.lit(seed), *carry)), "mix-sizes")
     sized = sized.withColumn("__part", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(PARTS)).cast("int"))
-    by_part = materialize(sized.groupBy("source_key", "source", "size", "__part").agg(F.count("*").alias("n")), "mix-counts")
+    by_part = materialize(sized.groupBy(F.col("__key").alias("source_key"), F.col("__source").alias("source"), "size", "__part").agg(F.count("*").alias("n")), "mix-counts")
     by_size = by_part.groupBy("source_key", "source", "size").agg(F.sum("n").alias("n"))
     by_source = by_size.groupBy("source_key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goals = targets(by_source, weights, share, copies).drop("source")
@@ -149,13 +182,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = CO
     before = Window.partitionBy("source_key", "size").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = by_part.select("source_key", "size", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     known = parts.join(planned, ["source_key", "size"]).join(goals, "source_key")
-    rank = F.row_number().over(Window.partitionBy("source_key", "size", "__part").orderBy("__h", "doc_id"))
-    ranked = sized.select("doc_id", "source_key", "size", "__part", rank.alias("__rank"), "__h")
+    rank = F.row_number().over(Window.partitionBy("__key", "size", "__part").orderBy("__h", *carry))
+    ranked = sized.select(*carry, F.col("__key").alias("source_key"), "size", "__part", rank.alias("__rank"))
     out = ranked.join(known, ["source_key", "size", "__part"])
     taken = F.col("passes") + F.when(F.col("__rank") + F.col("__before") <= F.col("extra"), 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", F.least(taken, F.lit(copies)).cast("long").alias("copies"))
+    return out.select(*carry, "size", "source_size", "target", F.least(taken, F.lit(copies)).cast("long").alias("copies"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of documents; taken is size times the copies that the mix takes.
+
+    Null texts have size 0, a null source is the last source, null and repeated ids are rows of their own, and further columns
+    are not read. An empty table gives no rows.
+    """
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
