@@ -149,6 +149,13 @@ def test_ann(spark):
         assert [p for p, _, _ in sorted(got[q])] == list(range(1, 21))
     assert hits >= 0.98 * 400
     assert 1003 not in {i for rs in got.values() for _, i, _ in rs}
+    twice = ann.usable(spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.5, 0.5]), (40, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    own = ann.fit(twice)
+    table = ann.dealt(ann.build_index(twice, own), own, 5)
+    found = ann.search(table, table.where("id % 20 = 0").select("id", "vector"), own, 3).collect()
+    assert collections.Counter(r["query_id"] for r in found) == {20: 9, 40: 3}
+    assert sorted((r["rank"], r["id"], r["score"]) for r in found if r["query_id"] == 40) == [(1, 3, 1.0), (2, 20, 0.5), (3, 20, 0.0)]
+    assert sorted((r["id"], r["score"]) for r in found if r["query_id"] == 20 and r["rank"] == 1) == [(3, 1.0)] * 3
     none = rows.limit(0)
     assert ann.search(ann.build_index(none, {}), none, {}, 20).count() == 0
 
@@ -179,6 +186,56 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def resharing():
+    """Sources' sizes and the targets that resharing the excess again and again gives them."""
+    rng = np.random.default_rng(9)
+    for _ in range(6):
+        sizes = rng.integers(0, 1000, rng.integers(1, 9)).astype(float)
+        weights = [(3.0, 1.0, 2.0)[i % 3] for i in range(len(sizes))]
+        left, open_, want = 1.5 * sizes.sum(), set(range(len(sizes))), np.zeros(len(sizes))
+        while open_:
+            own = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+            over = [i for i in open_ if own[i] > 2 * sizes[i]]
+            for i in over or list(open_):
+                want[i] = min(own[i], 2 * sizes[i])
+                open_.discard(i)
+            left -= sum(want[i] for i in over)
+        yield [(chr(97 + i), int(n)) for i, n in enumerate(sizes)], want
+
+
+def test_targets(spark):
+    for rows, want in resharing():
+        got = mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).orderBy("source").toPandas()["target"]
+        assert got.tolist() == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_fit_counts_is_nearest():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        lengths = np.unique(rng.integers(1, 40, 5))
+        counts = rng.integers(1, 4, len(lengths))
+        budget = int(rng.integers(1, int((lengths * counts).sum()) + 1))
+        reachable = {0}
+        for size, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+            reachable = {s + size * k for s in reachable for k in range(n + 1)}
+        taken = mixing.fit_counts(lengths, counts, budget)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        assert abs(int((taken * lengths).sum()) - budget) == min(abs(s - budget) for s in reachable)
+
+
+def test_fit_counts_with_very_long_documents():
+    rng = np.random.default_rng(12)
+    for _ in range(100):
+        lengths = np.unique(np.concatenate((rng.integers(1, 2000, 300), rng.integers(60_000, 400_000, 8))))
+        counts = np.where(lengths < 2001, rng.integers(1, 30, len(lengths)), 1)
+        budget = int(rng.integers(1, int((lengths * counts).sum())))
+        taken = mixing.fit_counts(lengths, counts, budget)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        assert abs(int((taken * lengths).sum()) - budget) <= lengths[0]
+    lengths, counts = np.asarray([100, 200, 300, 500, 1000, 70_000, 90_000, 150_000]), np.asarray([3000] * 5 + [1] * 3)
+    assert int((mixing.fit_counts(lengths, counts, 500_000) * lengths).sum()) == 500_000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body>
 <header class="site"><h2>Site</h2></header><nav><a href="/">Menu</a></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head &amp; line %d</h1><p>First <b>bold<br>text %d<p>Second &lt;p&gt;</p><form><input>Ask</form><div class="ad">Buy</div><p>Shared by all</p></article>
@@ -279,6 +336,32 @@ def test_dedup(spark, odd, empty):
     own = dedup.classes(odd).collect()
     assert len(own) == odd.count() and {(r["id"], r["class_id"]) for r in own} >= {(10, 9), (3, 2), (4, 4), (None, None)}
     assert dedup.classes(empty).count() == 0
+    assert {r["class_id"] for r in own if r["id"] is None} == {None}
+
+
+def edited(text: str, at: int) -> str:
+    words = text.split()
+    words[at] = "edited"
+    return " ".join(words)
+
+
+def test_dedup_rows_that_repeat_an_id_keep_their_links(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(150)) for x in "abc")
+    rows = [(1, a), (1, b), (2, edited(a, 3)), (3, edited(b, 70)), (None, edited(a, 100)), (None, c), (None, edited(c, 4)), (9, "other text of its own here")]
+    for _ in range(2):
+        got = dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), detail=True).collect()
+        # a and b are in one class each; both hold rows of id 1
+        assert sorted((r["id"] or 0, r["class_id"] or 0) for r in got) == [(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (9, 9)]
+        assert sum(r["leads"] for r in got) == 4
+
+
+def test_dedup_counts_weigh_links(spark):
+    rng = random.Random(8)
+    phrase, rest = " ".join(rng.choices("abcdefgh", k=5)), " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{rest} {phrase}"), (2, f"{rest} " + f"{phrase} " * 30), (3, f"{rest} " + f"{phrase} " * 29)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["id"]: r["class_id"] for r in dedup.classes(docs, weighting="count").collect()} == {1: 1, 2: 2, 3: 2}
+    assert {r["id"]: r["class_id"] for r in dedup.classes(docs).collect()}[3] == 1 or len(dedup.Shingler().distinct(rows[2][1].encode())) > 70
 
 
 def test_pipeline(spark):
@@ -291,3 +374,26 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.mix_sources(spark, one, SF)
     assert kept.columns == one.columns == mixed.columns == docs.columns
     assert mixed.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+        assert stage(spark, odd, SF).count() >= 1
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in kept) == collections.Counter([1, 2, 4, None, 7, 8, 9])
+
+
+def test_pipeline_mixes_rows_without_an_id_one_by_one(spark):
+    import corpus_pipeline
+
+    rows = [(None, " ".join(["x"] * n), "en", "a", n) for n in (4, 4, 5, 6)] + [(1, "y y", "en", "b", 3), (1, "y z", "en", "b", 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = collections.Counter()
+    for r in mixing.mix(docs, carry=("doc_id", "text")).collect():
+        want[(r["doc_id"], r["text"])] += r["copies"]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    times = collections.Counter((r[0], r[1]) for r in rows)
+    assert sum(got.values()) == sum(want.values()) and all(n <= 2 * times[k] for k, n in got.items())

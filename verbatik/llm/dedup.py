@@ -26,6 +26,8 @@ from verbatik.llm.common import as_bytes, discard, materialize, table, trimmed
 
 #: Words in a shingle; least similarity; bands and rows of a band. At 0.8 a pair shares no band with probability 0.00007.
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
+#: What stands for a null id where ids are compared.
+NO_ID = -(1 << 63)
 #: Word hashes that a task keeps.
 CACHE = 400_000
 #: Bits of the bitmap of ids that is broadcast (4 MB at most): with more ids it lets more rows pass to the exact join.
@@ -150,16 +152,23 @@ class Shingler:
             out = mix(out * _M3 + h[i : len(h) - n + 1 + i])
         return out
 
-    def distinct(self, body: bytes | None) -> np.ndarray:
-        return np.unique(self.all(body))
+    def distinct(self, body: bytes | None, counted: bool = False) -> np.ndarray:
+        """Ascending elements of the text's set. counted: the i-th occurrence of a shingle is an element of its own, so that
+        plain Jaccard of such sets is the Jaccard similarity weighted by occurrences."""
+        if not counted:
+            return np.unique(self.all(body))
+        shingles, times = np.unique(self.all(body), return_counts=True)
+        turn = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        return np.unique(mix(np.repeat(shingles, times) + turn.astype(np.uint64) * _M2))
 
 
 def sketch(docs: DataFrame, key: str, text: str, weighting: str = "set", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, d1, d2, n, bands array<long>) of every row: digest and number of distinct shingles, keys of the bands.
+    """(id, text_hash, d1, d2, n, bands array<long>) of every row: digest and size of its set of shingles, keys of the bands.
 
-    weighting `set` gives every shingle the weight 1, so that similarity is Jaccard's; `count` weighs it by its occurrences.
-    A text without words has n 0 and no bands; the digest is then of the text.
+    weighting `set` gives every shingle the weight 1, so that similarity is Jaccard's; `count` weighs it by its occurrences,
+    and n is the number of shingles with repeats. A text without words has n 0 and no bands; the digest is then of the text.
     """
+    counted = weighting == "count"
 
     def run(batches):
         import xxhash
@@ -170,31 +179,35 @@ def sketch(docs: DataFrame, key: str, text: str, weighting: str = "set", words:
             for lo in range(0, len(bodies), 256):
                 some = bodies[lo : lo + 256]
                 sets = [np.unique(shingler.all(b), return_counts=True) for b in some]
-                digests = [xxhash.xxh3_128_digest(s.tobytes() if len(s) else b"\0" + (b or b"")) for b, (s, _) in zip(some, sets, strict=True)]
+                digests = [xxhash.xxh3_128_digest(s.tobytes() + (t.tobytes() if counted else b"") if len(s) else b"\0" + (b or b"")) for b, (s, t) in zip(some, sets, strict=True)]
                 pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 sizes = np.asarray([len(s) for s, _ in sets])
                 live = np.flatnonzero(sizes)
                 keys: list = [[] for _ in some]
                 if len(live):
                     elements = np.concatenate([sets[i][0] for i in live])
-                    weights = np.concatenate([sets[i][1] for i in live]).astype(np.float64) if weighting == "count" else np.ones(len(elements))
+                    weights = np.concatenate([sets[i][1] for i in live]).astype(np.float64) if counted else np.ones(len(elements))
                     signed = signatures(elements, weights, np.repeat(np.arange(len(live)), sizes[live]), len(live), bands * rows)
                     for i, row in zip(live.tolist(), band_keys(signed, bands, rows).tolist(), strict=True):
                         keys[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column("id")[lo : lo + 256], pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["id", "d1", "d2", "n", "bands"])
+                whole = np.asarray([t.sum() for _, t in sets]) if counted else sizes
+                own = [batch.column(c)[lo : lo + 256] for c in ("id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(whole), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_hash", "d1", "d2", "n", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(trimmed(run), "id long, d1 long, d2 long, n long, bands array<long>")
+    body = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("body"))
+    return body.mapInArrow(trimmed(run), "id long, text_hash long, d1 long, d2 long, n long, bands array<long>")
 
 
-def of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows whose node is one of nodes. A bitmap of hashed ids, of bounded size, spares most others the shuffle."""
-    place = F.pmod(F.xxhash64("node"), F.lit(ID_BITS))
+def of_nodes(rows: DataFrame, nodes: DataFrame, on: tuple[str, ...] = ("node",)) -> DataFrame:
+    """The rows whose columns `on` are those of one of nodes, with the other columns of nodes. A bitmap of hashes, of bounded
+    size, spares most other rows the shuffle. `on` must hold no null."""
+    place = F.pmod(F.xxhash64(*on), F.lit(ID_BITS))
     spots = nodes.select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32767).alias("spot")).repartition("bucket")
     bitmap = spots.groupBy("bucket").agg(F.bitmap_construct_agg("spot").alias("bits"))
     is_set = F.expr("cast(conv(hex(substring(bits, cast(spot div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(spot % 8 as int)) <> 0")
     near = rows.withColumns({"bucket": F.shiftright(place, 15), "spot": place.bitwiseAND(32767)}).join(F.broadcast(bitmap), "bucket").where(is_set)
     # an inner join with distinct ids: a semi join would be moved below the bitmap
-    return near.select(rows.columns).join(nodes.select("node").distinct(), "node")
+    return near.select(rows.columns).join(nodes.distinct(), [*on])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -240,18 +253,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles binary): the sorted distinct shingle hashes of the documents named in nodes."""
+def shingle_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame, words: int, counted: bool = False) -> DataFrame:
+    """(node, shingles binary): the sorted elements of the set of each of nodes (node, id, text_hash), from one of its rows."""
 
     def run(batches):
         shingler = Shingler(words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingler.distinct(b).tobytes() for b in as_bytes(part.column("body"))], pa.binary())], names=["node", "shingles"])
+                sets = [shingler.distinct(b, counted).tobytes() for b in as_bytes(part.column("body"))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    rows = of_nodes(docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("body")), nodes)
-    return rows.mapInArrow(trimmed(run), "node long, shingles binary").dropDuplicates(["node"])
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("body"))
+    found = of_nodes(rows, nodes, ("id", "text_hash")).select("node", "body")
+    return found.mapInArrow(trimmed(run), "node long, shingles binary").dropDuplicates(["node"])
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -267,16 +282,22 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return held.where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weighting: str = "set", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weighting: str = "set", words: int = WORDS, bands: int = BANDS, rows: int = ROWS, detail: bool = False) -> DataFrame:
     """(id, class_id) of every row of docs: the least id that it is linked to, over any number of links.
 
     Null and empty texts are copies of each other; other texts without words are alike only if equal. Texts of fewer than
-    `words` words are one shingle. Rows of one id count as one document. A row with a null id has the class of the documents
-    whose shingles it has, null if there are none. Further columns are not looked at.
+    `words` words are one shingle. Rows that repeat an id with other texts are documents of their own. A row without an id is
+    linked like others; a class of such rows alone has a null class_id. Further columns are not looked at; an empty table
+    gives no rows. detail adds text_hash (xxhash64 of the text) and leads: whether the row is its class's first by id (null
+    last) and then by text_hash.
     """
+    counted_sets = weighting == "count"
     drawn = materialize(sketch(docs, key, text, weighting, words, bands, rows), "dedup-sketch")
-    groups = materialize(drawn.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "dedup-groups")
-    members = groups.where(F.col("node").isNotNull()).select("node", "n", F.explode("bands").alias("band"))
+    own_first = F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("lead")
+    # a node's number only has to tell groups apart; it is written before it is used
+    groups = drawn.groupBy("d1", "d2").agg(own_first, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    groups = materialize(groups, "dedup-groups")
+    members = groups.select("node", "n", F.explode("bands").alias("band"))
     together = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     met = materialize(members.join(together, "band").select("band", "node", "n", "m"), "dedup-met")
     degree = met.groupBy("node").agg(F.sum(F.col("m") - 1).alias("degree"))
@@ -285,10 +306,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     discard(met)
     close = (F.col("n") >= F.col("rep_n") * (threshold - 1e-9)) & (F.col("rep_n") >= F.col("n") * (threshold - 1e-9))
     first = shared.where((F.col("node") != F.col("rep")) & close).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
-    first = materialize(first, "dedup-pairs")
-    involved = shared.select("node").distinct()
-    sets = materialize(shingle_sets(docs, key, text, involved, words), "dedup-sets")
-    counted = materialize(overlaps(first, sets), "dedup-counted")
+    pairs = materialize(first, "dedup-pairs")
+    involved = groups.join(shared.select("node").distinct(), "node").select("node", "lead.id", "lead.text_hash")
+    sets = materialize(shingle_sets(docs, key, text, involved, words, counted_sets), "dedup-sets")
+    counted = materialize(overlaps(pairs, sets), "dedup-counted")
     edges = materialize(linked(counted, threshold), "dedup-edges")
     labels = components(edges)
     # what a band holds besides its main component is compared with all of other components in it
@@ -317,18 +338,29 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     others = able.select("band", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "within", "beyond", "most")))
     reach = F.least("a_most", "b_most", F.least("a_within", "b_within") + F.least("a_beyond", "b_beyond"))
     second = strays.join(others, (strays["band"] == others["band"]) & (F.col("a_component") != F.col("b_component")) & (reach >= (F.col("a_n") + F.col("b_n")) * share - 1e-6))
-    second = second.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = second.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     second = materialize(second, "dedup-pairs")
     ends = second.select(F.col("a").alias("node")).unionByName(second.select(F.col("b").alias("node"))).distinct()
     more = materialize(linked(overlaps(second, of_nodes(sets, ends)), threshold), "dedup-edges")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
-    for done in (sets, apart, able, shared, first, second, counted):
+    for done in (sets, apart, able, shared, pairs, second, counted):
         discard(done)
-    known = groups.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("class_id"))
-    return drawn.select("id", "d1", "d2").join(known, ["d1", "d2"], "left").select("id", "class_id")
+    known = groups.join(labels, "node", "left").select("d1", "d2", "lead", F.coalesce("component", "node").alias("component"))
+    first = known.groupBy("component").agg(F.min("lead").alias("first"))
+    known = known.join(first, "component").select("d1", "d2", F.when(~F.col("first.none"), F.col("first.id")).alias("class_id"), "first")
+    out = drawn.join(known, ["d1", "d2"], "left")
+    if not detail:
+        return out.select("id", "class_id")
+    leads = (F.coalesce("id", F.lit(NO_ID)) == F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return out.select("id", "class_id", "text_hash", leads.alias("leads"))
 
 
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, kept) of every row of documents; kept marks the rows of a class's least doc_id.
+
+    Null and empty texts are one class; null ids are linked but have no class of their own; repeated ids are documents of
+    their own; further columns are not read; an empty table gives no rows.
+    """
     found = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
