@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatik.llm import bpe, dedup, language, mixing
-from verbatik.llm.common import materialize
+from verbatik.llm.common import discard, materialize, outlasting, scratch_of
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,20 +16,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document of the least doc_id, once; documents without an id stay."""
-    found = dedup.classes(docs)
-    kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("doc_id")).distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps one row of each group of near duplicates: of its least doc_id (null last), then of its least text hash.
+
+    Rows without an id are documents like others. Repeated rows are copies of each other.
+    """
+    found = dedup.classes(docs, detail=True)
+    kept = found.where(F.col("leads")).groupBy("id", "text_hash").agg(F.count("*").alias("times"))
+    kept = materialize(kept, "pipeline-kept")
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    once, more = kept.where("times = 1"), kept.where("times > 1")
+    same = lambda own: F.col("doc_id").eqNullSafe(own["id"]) & (F.col("__hash") == own["text_hash"])
+    out = rows.join(once, same(once), "left_semi").select(docs.columns)
+    repeated = rows.join(more, same(more), "left_semi").dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
+    return out.unionByName(repeated)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    taken = mixing.mix(docs).select("doc_id", "copies").where("copies > 0").distinct()
-    rows = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """Each row as many times as the mix takes it; rows are told apart by two hashes of all their columns.
+
+    Rows that are equal in every column are taken as often as the mix takes them together.
+    """
+    names = docs.columns
+    nulls = F.array(*(F.col(c).isNull() for c in names))  # a hash passes nulls over
+    keyed = docs.withColumns({"__k1": F.xxhash64(nulls, *names), "__k2": F.xxhash64(F.lit(1), nulls, *reversed(names))})
+    mixed = mixing.mix(keyed, carry=("doc_id", "__k1", "__k2"))
+    taken = mixed.groupBy("__k1", "__k2").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    taken = materialize(taken, "pipeline-taken")
+    once = keyed.join(taken.where("__rows = 1"), ["__k1", "__k2"])
+    equal = keyed.join(taken.where("__rows > 1"), ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"])
+    rows = once.unionByName(equal)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote for itself is deleted when the next one's docs are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_of():
+            found = stage(spark, docs, sf_dir)
+            with outlasting():
+                after = materialize(found, f"pipeline-{name}")
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
