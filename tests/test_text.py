@@ -15,7 +15,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("n", "words"),
-    [(0, "zero"), (13, "thirteen"), (21, "twenty one"), (100, "one hundred"), (342, "three hundred forty two"), (-5, "minus five"), (1_000_001, "one million one"), (10**15, ""), (2_000_000_000_000, "two trillion")],
+    [(0, "zero"), (13, "thirteen"), (21, "twenty one"), (100, "one hundred"), (342, "three hundred forty two"), (-17, "minus seventeen"), (1_000_001, "one million one"), (10**15, ""), (2_000_000_000_000, "two trillion")],
 )
 def test_cardinal(spark, n, words):
     assert one(spark, numbers.cardinal(F.lit(n))) == words
@@ -26,15 +26,16 @@ def test_ordinal(spark, n, words):
     assert one(spark, numbers.ordinal(F.lit(n))) == words
 
 
-@pytest.mark.parametrize(("n", "words"), [(1984, "nineteen eighty four"), (1900, "nineteen hundred"), (1905, "nineteen oh five"), (2001, "two thousand one"), (2000, "twenty hundred"), (1066, "one thousand sixty six")])
+# 2000 is pinned: it is read as a round century
+@pytest.mark.parametrize(("n", "words"), [(1984, "nineteen eighty four"), (1900, "nineteen hundred"), (1905, "nineteen oh five"), (2003, "two thousand three"), (2000, "twenty hundred"), (1066, "one thousand sixty six")])
 def test_year(spark, n, words):
     assert one(spark, numbers.year(F.lit(n))) == words
 
 
 def test_other_numbers(spark):
-    assert one(spark, numbers.decimal(F.lit("3.14"))) == "three point one four"
-    assert one(spark, numbers.decimal(F.lit(".5"))) == "point five"
-    assert one(spark, numbers.decimal(F.lit("3"))) == "3"
+    assert one(spark, numbers.decimal(F.lit("7.26"))) == "seven point two six"
+    assert one(spark, numbers.decimal(F.lit(".8"))) == "point eight"
+    assert one(spark, numbers.decimal(F.lit("6"))) == "6"
     assert one(spark, numbers.grouped_cardinal(F.lit("1,234"))) == "one thousand two hundred thirty four"
     assert one(spark, numbers.grouped_cardinal(F.lit("x"))) is None
     assert one(spark, numbers.decade(F.lit("nineteen eighty"))) == "nineteen eighties"
@@ -57,19 +58,19 @@ def test_other_numbers(spark):
         (rewrite.codes, "QF12 flies", '<sub alias="Q F 1 2">QF12</sub> flies'),
         (rewrite.initialisms, "NASA AI", "NASA [A](/ˈeɪ/) [I](/ˈaɪ/)"),
         (rewrite.slashes, "A/B", '<sub alias="A slash B">A/B</sub>'),
-        (rewrite.compounds, "state-of-the-art x", '<sub alias="state of the art">state-of-the-art</sub> x'),
+        (rewrite.compounds, "up-to-date x", '<sub alias="up to date">up-to-date</sub> x'),
         (rewrite.iso_dates, "2024-01-02", '<say-as interpret-as="date" format="ymd">2024-01-02</say-as>'),
         (rewrite.times, "at 9:30", 'at <say-as interpret-as="time">9:30</say-as>'),
         (rewrite.fold_punctuation, "a -- b... ‘c’ [d]", "a — b… 'c' (d)"),
         (rewrite.closed, "done", "done."),
         (rewrite.ordinals, '<sub alias="x">1st</sub> 1st', '<sub alias="x">1st</sub> <sub alias="first">1st</sub>'),
-        (rewrite.romans, "Chapter IV, Part MMMMM", 'Chapter <sub alias="four">IV</sub>, Part MMMMM'),
-        (rewrite.dimensions, "8.5 x 11", '<sub alias="eight point five by eleven">8.5 x 11</sub>'),
+        (rewrite.romans, "Volume IX, Part MMMMM", 'Volume <sub alias="nine">IX</sub>, Part MMMMM'),
+        (rewrite.dimensions, "2.5 x 7", '<sub alias="two point five by seven">2.5 x 7</sub>'),
         (rewrite.years, "the 1990s, In 1984 and May 2005", 'the <sub alias="nineteen nineties">1990s</sub>, In <sub alias="nineteen eighty four">1984</sub> and May <sub alias="two thousand five">2005</sub>'),
-        (rewrite.course_codes, "Biology 101", 'Biology <sub alias="one oh one">101</sub>'),
+        (rewrite.course_codes, "Physics 204", 'Physics <sub alias="two oh four">204</sub>'),
         (rewrite.ranges, "250–500 ms, 1990—1999", '<sub alias="two hundred fifty to five hundred milliseconds">250–500 ms</sub>, <sub alias="nineteen ninety to nineteen ninety nine">1990—1999</sub>'),
         (rewrite.units, "a 200 mg tube, 200 mg of it, 1 kg", 'a <sub alias="two hundred milligram">200 mg</sub> tube, <sub alias="two hundred milligrams">200 mg</sub> of it, <sub alias="one kilogram">1 kg</sub>'),
-        (rewrite.fractions, "8/10 on 4/20/2025", '<sub alias="eight out of ten">8/10</sub> on 4/20/2025'),
+        (rewrite.fractions, "5/9 on 3/14/2021", '<sub alias="five out of nine">5/9</sub> on 3/14/2021'),
         (rewrite.ratios, "2:1", '<sub alias="two to one">2:1</sub>'),
         (rewrite.parentheses, "a (b) c (d). [e](/f/)", "a — b — c — d. [e](/f/)"),
         (rewrite.clauses, "He came, and left; I stayed", "He came — and left — I stayed"),
@@ -125,7 +126,7 @@ def test_entry(spark):
 def test_normalize_documents_has_every_row(spark, tmp_path, monkeypatch):
     from verbatik.plans.catalog import QUERIES
 
-    monkeypatch.setattr(rewrite, "STAGES", (rewrite.ordinals,))  # the rows are looked at here; with all stages this did not end in 90 s
+    monkeypatch.setattr(rewrite, "STAGES", (rewrite.ordinals,))  # the rows are looked at here
     rows = [(1, "the 21st", "en"), (2, "the 21st", "de"), (3, "the 21st", None), (4, None, "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["normalized"] for r in QUERIES["normalize_documents"](spark, str(tmp_path)).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth",
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 
+def bound(x: Column, read: Callable[[Column], Column]) -> Column:
+    """read(x) with x computed once, however often read refers to it."""
+    return F.transform(F.array(x), read)[0]
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -33,11 +40,17 @@ def _group(x: Column) -> Column:
 
 def cardinal(n: Column) -> Column:
     """Cardinal words of a whole number; null for null. Groups from 10^15 on are left out."""
-    n = n.cast("long")
-    a = F.abs(n)
-    groups = F.array(*(F.struct(((_whole(a, 1000**i) if i else a) % 1000).alias("g"), F.lit(SCALES[i]).alias("scale")) for i in range(len(SCALES) - 1, -1, -1)))
-    words = F.transform(F.filter(groups, lambda x: x["g"] > 0), lambda x: F.concat_ws(" ", _group(x["g"]), F.when(x["scale"] != "", x["scale"])))
-    return F.when(n.isNull(), None).when(n == 0, F.lit("zero")).otherwise(F.concat_ws(" ", F.when(n < 0, F.lit("minus")), words))
+
+    def group_of(a: Column, i: int) -> Column:
+        return F.struct(((_whole(a, 1000**i) if i else a) % 1000).alias("g"), F.lit(SCALES[i]).alias("scale"))
+
+    def read(n: Column) -> Column:
+        groups = F.array(*(group_of(F.abs(n), i) for i in range(len(SCALES) - 1, -1, -1)))
+        live = F.filter(groups, lambda x: x["g"] > 0)
+        words = F.transform(live, lambda x: F.concat_ws(" ", _group(x["g"]), F.when(x["scale"] != "", x["scale"])))
+        return F.when(n.isNull(), None).when(n == 0, F.lit("zero")).otherwise(F.concat_ws(" ", F.when(n < 0, F.lit("minus")), words))
+
+    return bound(n.cast("long"), read)
 
 
 def ordinal_word(word: Column) -> Column:
@@ -47,21 +60,20 @@ def ordinal_word(word: Column) -> Column:
 
 
 def ordinal(n: Column) -> Column:
-    words = F.split(cardinal(n), " ")
-    return F.concat_ws(" ", F.slice(words, 1, F.size(words) - 1), ordinal_word(F.element_at(words, -1)))
+    return bound(F.split(cardinal(n), " "), lambda words: F.concat_ws(" ", F.slice(words, 1, F.size(words) - 1), ordinal_word(F.element_at(words, -1))))
 
 
 def year(n: Column) -> Column:
     """A year's reading: pairs of digits, "hundred" for round ones, the plain number at the start of some centuries."""
-    n = n.cast("long")
-    high, low = F.floor(n / 100), n % 100
-    return (
-        F.when((n < 1100) | (n > 9999), cardinal(n))
-        .when(low == 0, F.concat(cardinal(high), F.lit(" hundred")))
-        .when((high % 10 == 0) & (low < 10), cardinal(n))
-        .when(low < 10, F.concat(cardinal(high), F.lit(" oh "), cardinal(low)))
-        .otherwise(F.concat(cardinal(high), F.lit(" "), cardinal(low)))
-    )
+
+    def read(n: Column) -> Column:
+        high, low = F.floor(n / 100), n % 100
+        plain = (n < 1100) | (n > 9999) | ((high % 10 == 0) & (low < 10) & (low > 0))
+        between = F.when(low == 0, F.lit(" hundred")).when(low < 10, F.lit(" oh ")).otherwise(F.lit(" "))
+        first = cardinal(F.when(plain, n).otherwise(high))
+        return F.when(plain, first).otherwise(F.concat(first, between, F.when(low == 0, F.lit("")).otherwise(cardinal(low))))
+
+    return bound(n.cast("long"), read)
 
 
 def digit_words(s: Column) -> Column:

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verbatik.functions.numbers import cardinal, decade, decimal, digit_words, grouped_cardinal, ordinal, range_end, roman, year
+from verbatik.functions import abbreviations as short
+from verbatik.functions.numbers import bound, cardinal, decade, decimal, digit_words, grouped_cardinal, ordinal, range_end, roman, year
 
 # Capital runs that are read as words, and letter names.
 WORD_ACRONYMS = "NASA NATO UNICEF UNESCO OPEC DARPA FEMA FIFA IKEA INTERPOL SCUBA LASER RADAR SONAR MODEM TASER GIF JPEG MPEG JSON SWAT SEAL AIDS SARS COVID EBOLA ASAP AWOL SNAFU FUBAR NIMBY WASP YOLO YAML".split()
@@ -52,6 +53,7 @@ ROOM_CUES = "apartment apt room rm gate exit building bldg suite ste flat unit f
 ROOM_LETTERS = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ay,bee,see,dee,ee,eff,gee,aitch,eye,jay,kay,ell,em,en,oh,pee,cue,are,ess,tee,you,vee,double you,ex,why,zee".split(","), strict=True))
 DOMAINS = "com org net edu gov mil int biz info io co us uk eu de fr jp cn ca au nz ru br mx es it nl ai dev app xyz".split()
 
+# Patterns of addresses and numbers, which decide what a match is.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(\+?\d{1,2})?[ .-]?\(?(\d{3})\)?[ .-](\d{3})[ .-](\d{4})\b"
 IPV4 = r"(?<![0-9.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![0-9.])"
@@ -59,15 +61,20 @@ IPV4 = r"(?<![0-9.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![0-9.])"
 
 def splice(text: Column, pattern: str, mapped: Callable[[Column], Column]) -> Column:
     """text with every match of pattern replaced by mapped(match); text without a match is not taken apart."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    joined = F.array_join(F.zip_with(pieces, F.transform(found, mapped), lambda s, r: F.concat(s, F.coalesce(r, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    def read(t: Column) -> Column:
+        pieces, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        joined = F.array_join(F.zip_with(pieces, F.transform(found, mapped), lambda s, r: F.concat(s, F.coalesce(r, F.lit("")))), "")
+        return F.when(t.rlike(pattern), joined).otherwise(t)
+
+    return bound(text, read)
 
 
 def guarded(text: Column, pattern: str, mapped: Callable[[Column], Column]) -> Column:
     """As splice, but what an earlier rule has put into a span stays; a match mapped to null stays too."""
     both = rf'<sub\b[^>]*>[^<]*</sub>|{pattern}'
-    return F.when(text.rlike(pattern), splice(text, both, lambda m: F.when(m.startswith("<sub"), m).otherwise(F.coalesce(mapped(m), m)))).otherwise(text)
+    own = lambda m: F.when(m.startswith("<sub"), m).otherwise(F.coalesce(mapped(m), m))
+    return bound(text, lambda t: F.when(t.rlike(pattern), splice(t, both, own)).otherwise(t))
 
 
 def literal_map(values: dict[str, str]) -> Column:
@@ -78,6 +85,23 @@ def sub(alias: Column, source: Column) -> Column:
     return F.concat(F.lit('<sub alias="'), alias, F.lit('">'), source, F.lit("</sub>"))
 
 
+def attribute(value: Column) -> Column:
+    """value as it stands in an attribute: &, quotes and angle brackets as references."""
+    for own, reference in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        value = F.replace(value, F.lit(own), F.lit(reference))
+    return value
+
+
+def template(value: Column) -> Column:
+    """value as it stands in the replacement of a pattern: backslashes and dollar signs are escaped."""
+    return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+
+
+def ipa_override(word: Column, ipa: Column) -> Column:
+    """word with its phonetic reading, one scalar a token."""
+    return F.concat(F.lit("["), word, F.lit("](/"), F.array_join(F.split(ipa, ""), " "), F.lit("/)"))
+
+
 def spelled(s: Column) -> Column:
     return F.array_join(F.split(s, ""), " ")
 
@@ -119,7 +143,7 @@ def point_words(m: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return splice(text, EMAIL, lambda m: sub(email_alias(m), m))
+    return splice(text, EMAIL, lambda m: sub(attribute(email_alias(m)), m))
 
 
 def phones(text: Column) -> Column:
@@ -281,15 +305,17 @@ def url_alias(s: Column) -> Column:
 
 
 def urls(text: Column) -> Column:
+    # fixed value: the pattern of an address
     ends = "|".join(sorted(DOMAINS, key=lambda d: (-len(d), d)))
     found = rf"""(?i)(?<![@A-Za-z0-9])(?:https?://|www\.)?[A-Za-z0-9][A-Za-z0-9.-]*\.(?:{ends})\b(?::\d+)?(?:/[^\s"'<>]*)?"""
     closing = r"[.,;:!?)\]}]*$"
     core = lambda m: F.regexp_replace(m, closing, "")
-    return splice(text, found, lambda m: F.concat(sub(url_alias(core(m)), core(m)), F.regexp_extract(m, f"({closing})", 1)))
+    return splice(text, found, lambda m: F.concat(sub(attribute(url_alias(core(m))), core(m)), F.regexp_extract(m, f"({closing})", 1)))
 
 
 def meridiem_times(text: Column) -> Column:
     """A time with a.m. or p.m. as one span; a pause follows it where a sentence begins."""
+    # fixed value: the pattern of such a time
     own = r"(?<![A-Za-z0-9])\d{1,2}:\d{2}\s+[aApP]\.[mM]\.(?![A-Za-z0-9])"
     part = lambda m, i: F.regexp_extract(m, r"^(\d+):(\d+)\s+(.)", i)
     alias = lambda m: F.concat_ws(" ", part(m, 1), part(m, 2), F.upper(part(m, 3)), F.lit("M"))
@@ -297,6 +323,27 @@ def meridiem_times(text: Column) -> Column:
     return guarded(text, own, lambda m: sub(alias(m), m))
 
 
+def abbreviations(text: Column) -> Column:
+    """Abbreviations as spans of what they stand for, by their context; spans and tags of earlier rules stay."""
+    protect = r"<(?:sub|say-as)\b[^>]*>[\s\S]*?</(?:sub|say-as)>|<[^>]*(?:>|\z)"
+    pattern = f"{protect}|{short.PATTERN}"
+
+    def read(t: Column) -> Column:
+        pieces, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+
+        def one(m: Column, i: Column) -> Column:
+            near = F.concat(F.get(found, i - 1), F.get(pieces, i))
+            left = F.right(F.coalesce(F.concat(F.get(pieces, i - 1), near), near, F.get(pieces, i)), F.lit(short.NEAR))
+            rest = F.concat(F.get(pieces, i + 1), F.coalesce(F.get(found, i + 1), F.lit("")), F.coalesce(F.get(pieces, i + 2), F.lit("")))
+            alias = short.expansion(m, left, rest)
+            return F.when(m.startswith("<") | alias.isNull(), m).otherwise(sub(alias, m))
+
+        spans = F.transform(found, one)
+        return F.when(t.rlike(short.PATTERN), F.array_join(F.zip_with(pieces, spans, lambda s, r: F.concat(s, F.coalesce(r, F.lit("")))), "")).otherwise(t)
+
+    return bound(text, read)
+
+
 def room_codes(text: Column) -> Column:
     letters = literal_map(ROOM_LETTERS)
     own = rf"(?<![A-Za-z.])\.*(?i:{'|'.join(ROOM_CUES)})(?:\.+[ \t]*|[ \t]+)\d+[A-Z](?![A-Za-z0-9])"
@@ -323,12 +370,12 @@ def closed(text: Column) -> Column:
 
 
 #: The stages that are built, in their order.
-STAGES = (fold_punctuation, parentheses, clauses, emails, urls, phones, compounds, technical, meridiem_times, iso_dates, times, ipv4, money, percents, temperatures, romans, dimensions, decades, cued_years, month_years, course_codes, ranges, units, fractions, ratios, ordinals, room_codes, codes, initialisms, slashes)
+STAGES = (fold_punctuation, parentheses, clauses, emails, urls, phones, compounds, technical, meridiem_times, abbreviations, iso_dates, times, ipv4, money, percents, temperatures, romans, dimensions, decades, cued_years, month_years, course_codes, ranges, units, fractions, ratios, ordinals, room_codes, codes, initialisms, slashes)
 
 
-def normalize(df, text: str, out: str):
-    """df with `out`: the text after all STAGES; each is bound to a column so that no stage is computed twice."""
+def normalize(df, text: str, out: str, stages=STAGES):
+    """df with `out`: the text after all stages; each is bound to a column so that no stage is computed twice."""
     df = df.withColumn(out, F.col(text))
-    for stage in STAGES:
+    for stage in stages:
         df = df.withColumn(out, stage(F.col(out)))
     return df

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatik.functions.tokens import kind
+from verbatik.functions.tokens import MARKS, kind, lay_out
 
-# Clause marks, clause openers, plurals without s, words before which a verb reading does not hold.
-MARKS = list(".!?;:,")
+# Clause openers, plurals without s, words before which a verb reading does not hold.
 OPENERS = "and or but nor yet so because since although though while when where if unless until after before whenever wherever whereas that which who whom whose".split()
 PLURALS = "men women children people feet teeth mice geese oxen lice analyses crises theses phenomena criteria strata bacteria data media alumni".split()
 COPULAS = "is are was were be been being am 's 're still very quite so really truly".split()
@@ -27,6 +26,17 @@ def hum(word: Column) -> Column:
     return F.when(word.rlike(r"(?i)^hm+\z"), F.lit("hˈmː"))
 
 
+def copula_vetoes(docs: DataFrame, copulas=tuple(COPULAS)) -> DataFrame:
+    """(doc_id, pos, token, vetoed) of every token after another, white space aside: whether that other is a copula."""
+    rows = lay_out(docs.select("doc_id", "text")).where((F.col("kind") != "space") & F.col("before").isNotNull())
+    return rows.select("doc_id", "pos", "token", F.lower("before").isin(*copulas).alias("vetoed"))
+
+
+def next_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, token, next_word) of every word: the next word of its clause, null at its end."""
+    return lay_out(docs.select("doc_id", "text")).where(F.col("kind") == "word").select("doc_id", "pos", "token", "next_word")
+
+
 def promote_verbs(tokens: DataFrame) -> DataFrame:
     """tokens (doc_id, pos, token, tag; no white space) with `promoted`: a noun or adjective that its clause shows to be a verb.
 

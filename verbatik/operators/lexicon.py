@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tiers in order, parents of tags, and letters that fold to plain ones.
 TIERS = ["overlay", "gold", "celtic", "silver"]
 PARENT = {"VBD": "VERB", "VBP": "VERB", "VBN": "VERB"}
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Entries of a lexicon that are broadcast at most, and the type of what is found in it.
+BROADCAST_ROWS = 500_000
+HITS = "array<struct<tier_rank:int,form:int,tier:string,variant:string,ipa:string>>"
 # A small lexicon (tier, word, variant, ipa); variant '-' is a plain entry. The last four rows are synthetic.
 ENTRIES = [
     ("gold", "read", "DEFAULT", "ɹˈid"), ("gold", "read", "VBD", "ɹˈɛd"), ("gold", "Bryan", "-", "bɹˈIən"), ("gold", "Riley", "-", "ɹˈIli"), ("gold", "Kneel", "-", "nˈil"),
@@ -23,26 +26,77 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(TIERS.index(t), t, w, v, i) for t, w, v, i in ENTRIES], "tier_rank int, tier string, word string, variant string, ipa string")
 
 
-def resolve(words: DataFrame, entries: DataFrame) -> DataFrame:
-    """words (word, pos) with tier, variant and ipa, null where no tier has the word.
+def _table(entries: DataFrame) -> DataFrame:
+    """(key, found): each word's rows in all tiers; broadcast if no more than BROADCAST_ROWS entries are counted, once."""
+    known = getattr(entries, "_by_word", None)
+    if known is None:
+        row = F.struct("tier_rank", "tier", "variant", "ipa")
+        known = entries.groupBy(F.col("word").alias("__key")).agg(F.collect_list(row).alias("__found"))
+        if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            known = F.broadcast(known)
+        entries._by_word = known
+    return known
+
+
+def with_hits(words: DataFrame, entries: DataFrame, word: str = "word") -> DataFrame:
+    """words with `hits`, array<struct<tier_rank, form, tier, variant, ipa>>: of each tier the rows of its first form.
+
+    The forms are the word, its lower case, and both without accents. One join for each form, with no shuffle of words
+    unless the lexicon is too large to broadcast.
+    """
+    table = _table(entries)
+    folded = F.translate(word, ACCENTED, PLAIN)
+    out = words
+    for i, form in enumerate((F.col(word), F.lower(word), folded, F.lower(folded))):
+        own = table.select(F.col("__key").alias(f"__k{i}"), F.transform("__found", _hit(i)).alias(f"__h{i}"))
+        out = out.withColumn(f"__f{i}", form).join(own, F.col(f"__f{i}") == F.col(f"__k{i}"), "left")
+    every = F.concat(*(F.coalesce(f"__h{i}", F.array().cast(HITS)) for i in range(4)))
+    first = F.filter(every, lambda x: ~F.exists(every, lambda y: (y["tier_rank"] == x["tier_rank"]) & (y["form"] < x["form"])))
+    return out.select(*words.columns, F.array_distinct(first).alias("hits"))
 
-    In each tier only the first form counts that the tier has (the word, its lower case, both without accents); there the
-    variants are tried as pos, its parent, DEFAULT, null values falling through; a plain entry fits any pos. The first tier
-    that gives a value wins. The lexicon is a dimension of bounded size and is broadcast by Spark's own size check.
+
+def _hit(form: int):
+    own = lambda r, names: (r[n].alias(n) for n in names)
+    return lambda r: F.struct(*own(r, ["tier_rank"]), F.lit(form).alias("form"), *own(r, ["tier", "variant", "ipa"]))
+
+
+def best_hit(hits: Column, pos: Column) -> Column:
+    """struct(tier_rank, step, tier, variant, ipa) of the first tier that has a value for pos, null if none has.
+
+    In a tier pos, its parent and DEFAULT are tried, null values falling through; a plain entry fits any pos.
     """
-    parent = F.element_at(F.create_map(*(F.lit(x) for kv in PARENT.items() for x in kv)), F.col("pos"))
-    folded = F.translate("word", ACCENTED, PLAIN)
-    forms = F.array_distinct(F.array("word", F.lower("word"), folded, F.lower(folded)))
-    asked = words.select("word", "pos").distinct().withColumn("parent", parent)
-    keyed = asked.select("word", "pos", "parent", F.posexplode(forms).alias("form", "key"))
-    hits = keyed.join(entries.withColumnRenamed("word", "key"), "key")
-    first = hits.groupBy("word", "pos", "tier_rank").agg(F.min("form").alias("form"))
-    own = hits.join(first.select("word", F.col("pos").alias("p"), "tier_rank", "form"), ["word", "tier_rank", "form"]).where(F.col("pos").eqNullSafe(F.col("p")))
-    step = F.when(F.col("variant") == "-", 0).when(F.col("variant").eqNullSafe(F.col("pos")), 1).when(F.col("variant").eqNullSafe(F.col("parent")), 2).when(F.col("variant") == "DEFAULT", 3)
-    fit = own.withColumn("step", step).where(F.col("step").isNotNull() & F.col("ipa").isNotNull())
-    best = fit.groupBy("word", "pos").agg(F.min(F.struct("tier_rank", "step", "tier", "variant", "ipa")).alias("b"))
-    joined = words.join(best.select(F.col("word").alias("w"), F.col("pos").alias("p"), "b"), (F.col("word") == F.col("w")) & F.col("pos").eqNullSafe(F.col("p")), "left")
-    return joined.select(*words.columns, F.col("b.tier").alias("tier"), F.col("b.variant").alias("variant"), F.col("b.ipa").alias("ipa"))
+    parent = F.try_element_at(F.create_map(*(F.lit(x) for kv in PARENT.items() for x in kv)), pos)
+
+    def step(v: Column) -> Column:
+        return F.when(v == "-", 0).when(v.eqNullSafe(pos), 1).when(v.eqNullSafe(parent), 2).when(v == "DEFAULT", 3)
+
+    row = lambda x: F.struct(x["tier_rank"].alias("tier_rank"), step(x["variant"]).alias("step"), x["tier"].alias("tier"), x["variant"].alias("variant"), x["ipa"].alias("ipa"))
+    return F.array_min(F.filter(F.transform(hits, row), lambda x: x["step"].isNotNull() & x["ipa"].isNotNull()))
+
+
+def plain_hit(hits: Column) -> Column:
+    """struct(tier, ipa) of the first tier that has the word at all, if it has it as a plain entry; null for homographs."""
+    first = F.array_min(F.transform(hits, lambda x: x["tier_rank"]))
+    own = F.filter(hits, lambda x: (x["tier_rank"] == first) & (x["variant"] == "-") & x["ipa"].isNotNull())
+    return F.when(F.size(own) > 0, F.struct(F.get(own, F.lit(0))["tier"].alias("tier"), F.get(own, F.lit(0))["ipa"].alias("ipa")))
+
+
+def resolve(words: DataFrame, entries: DataFrame) -> DataFrame:
+    """words (word, pos) with tier, variant and ipa, null where no tier has the word."""
+    best = with_hits(words, entries).withColumn("__best", best_hit(F.col("hits"), F.col("pos")))
+    return best.select(*words.columns, *(F.col(f"__best.{c}").alias(c) for c in ("tier", "variant", "ipa")))
+
+
+def plain(words: DataFrame, entries: DataFrame) -> DataFrame:
+    """words (word) with tier and ipa of plain entries; null for homographs and unknown words."""
+    found = with_hits(words, entries).withColumn("__plain", plain_hit(F.col("hits")))
+    return found.select(*words.columns, F.col("__plain.tier").alias("tier"), F.col("__plain.ipa").alias("ipa"))
+
+
+def known_homographs(words: DataFrame, entries: DataFrame) -> DataFrame:
+    """words (word) with `homograph`: whether any tier has readings of it by tag."""
+    found = with_hits(words, entries)
+    return found.select(*words.columns, F.exists("hits", lambda x: x["variant"] != "-").alias("homograph"))
 
 
 def grow(entries: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbatik.functions import arrays, chunks, numbers, rewrite
-from verbatik.functions.tokens import SPACE, TOKEN, is_space, kind, token_array, tokens
-from verbatik.operators import context, lexicon, spans
+from verbatik.functions import abbreviations, arrays, chunks, numbers, rewrite
+from verbatik.functions.tokens import MERGED, SPACE, TOKEN, kind, lay_out, token_array, tokens
+from verbatik.operators import context, lexicon, names, rates, resolve, spans
+from verbatik.sources import registry
+from verbatik.sources.text import processes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,7 +19,7 @@ ORACLE_SQL: dict[str, str] = {}
 # Voices and speeds of the job matrix.
 VOICES = "af_heart af_bella af_nicole am_adam am_michael bf_emma bm_george".split()
 SPEEDS = [0.9, 1.0, 1.1]
-PROCESSES = [(1, 0, 10), (2, 1, 20), (3, 1, 30), (4, 2, 40), (5, 4, 50), (6, 9, 60)]
+PROCESSES = [(1, 5, 10), (2, 1, 20), (3, 1, 30), (4, 2, 40), (5, 4, 50), (6, 9, 60)]
 
 
 def query(sql: str | None = None):
@@ -94,9 +96,8 @@ def token_roundtrip(spark, sf_dir):
 
 @query(f"SELECT doc_id, pos::INT AS pos, token, coalesce(CASE WHEN regexp_full_match(after, '[{SPACE}]+') THEN after END, '') AS ws FROM (SELECT *, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM ({_TOKENS})) WHERE NOT regexp_full_match(token, '[{SPACE}]+')")
 def trailing_whitespace(spark, sf_dir):
-    after = F.lead("token").over(Window.partitionBy("doc_id").orderBy("pos"))
-    rows = tokens(read(spark, sf_dir, "documents")).withColumn("after", after).where(~is_space(F.col("token")))
-    return rows.select("doc_id", "pos", "token", F.coalesce(F.when(is_space(F.col("after")), F.col("after")), F.lit("")).alias("ws"))
+    rows = lay_out(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.where(F.col("kind") != "space").select("doc_id", "pos", "token", "ws")
 
 
 @query(f"SELECT doc_id, CASE WHEN regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}_]') THEN 'word' WHEN regexp_full_match(token, '[{SPACE}]+') THEN 'space' ELSE 'other' END AS kind, count(*) AS n FROM ({_TOKENS}) GROUP BY ALL")
@@ -119,7 +120,21 @@ def folded_characters(spark, sf_dir):
     return rows.select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(F.translate("html", own, "")).cast("long").alias("n_kept"))
 
 
-@query()
+
+def _sql_fold(text: str) -> str:
+    """SQL of the fold: pieces and matches of the runs are put together again, then single characters are exchanged."""
+    blank = r"[ \t\n\x0B\f\r]"
+    run = rf"{blank}*\.{blank}+\.{blank}+\.{blank}*|\.{{2,}}|\x{{FF0E}}{{2,}}|\x{{30FB}}{{3,}}|{blank}+--{blank}+|--|{blank}+-{blank}+"
+    mark = "CASE WHEN p[2] IS NULL THEN '' WHEN p[2] = '--' THEN '—' WHEN contains(p[2], '-') THEN ' — ' ELSE '…' END"
+    whole = f"array_to_string(list_transform(list_zip(string_split_regex({text}, '{run}'), regexp_extract_all({text}, '{run}')), lambda p: p[1] || {mark}), '')"
+    own, to = "".join(rewrite.FOLDED.values()), "".join(k * len(v) for k, v in rewrite.FOLDED.items())
+    return f"translate({whole}, '{own}', '{to.replace(chr(39), chr(39) * 2)}')"
+
+
+_FOLDED = f"(SELECT doc_id, {_sql_fold('text')} AS text FROM documents)"
+
+
+@query(f"SELECT doc_id, text AS folded FROM {_FOLDED}")
 def punctuation_fold(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", rewrite.fold_punctuation(F.col("text")).alias("folded"))
 
@@ -189,19 +204,14 @@ def span_coverage(spark, sf_dir):
 
 @query(f"SELECT doc_id, pos::INT AS pos, token, before IN ('is', 'was', 'ist', 'est', 'es') AS vetoed FROM (SELECT *, lag(lower(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ({_TOKENS}) WHERE NOT regexp_full_match(token, '[{SPACE}]+')) WHERE before IS NOT NULL")
 def copula_veto(spark, sf_dir):
-    rows = tokens(read(spark, sf_dir, "documents")).where(~is_space(F.col("token")))
-    rows = rows.withColumn("before", F.lag(F.lower("token")).over(Window.partitionBy("doc_id").orderBy("pos")))
-    return rows.where(F.col("before").isNotNull()).select("doc_id", "pos", "token", F.col("before").isin("is", "was", "ist", "est", "es").alias("vetoed"))
+    return context.copula_vetoes(read(spark, sf_dir, "documents"), ("is", "was", "ist", "est", "es"))
 
 
 @query(f"""WITH t AS (SELECT *, sum(CASE WHEN token IN ('.', '!', '?', ';', ':', ',') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS clause FROM ({_TOKENS})),
 w AS (SELECT doc_id, pos, clause, token FROM t WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}_]'))
 SELECT doc_id, pos::INT AS pos, token, lead(token) OVER (PARTITION BY doc_id, clause ORDER BY pos) AS next_word FROM w""")
 def next_word(spark, sf_dir):
-    rows = tokens(read(spark, sf_dir, "documents"))
-    mark = F.when(F.col("token").isin(".", "!", "?", ";", ":", ","), 1).otherwise(0)
-    rows = rows.withColumn("clause", F.sum(mark).over(Window.partitionBy("doc_id").orderBy("pos"))).where(kind(F.col("token")) == "word")
-    return rows.select("doc_id", "pos", "token", F.lead("token").over(Window.partitionBy("doc_id", "clause").orderBy("pos")).alias("next_word"))
+    return context.next_words(read(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT v AS voice, s::DOUBLE AS speed, row_number() OVER (ORDER BY v, s)::INT AS job FROM (SELECT unnest({_list(VOICES)}) AS v), (SELECT unnest({SPEEDS}) AS s)")
@@ -218,7 +228,11 @@ def throughput_by_type(spark, sf_dir):
 @query("WITH RECURSIVE p AS (SELECT * FROM (VALUES " + ", ".join(map(str, PROCESSES)) + ") AS x(pid, ppid, rss)), c AS (SELECT pid, rss FROM p WHERE pid = 1 UNION SELECT p.pid, p.rss FROM p JOIN c ON p.ppid = c.pid) SELECT count(*) AS n, sum(rss)::BIGINT AS rss FROM c")
 def process_closure(spark, sf_dir):
     spark.createDataFrame(PROCESSES, "pid int, ppid int, rss long").createOrReplaceTempView("verbatik_processes")
-    return spark.sql("WITH RECURSIVE c(pid, rss, depth) AS (SELECT pid, rss, 0 FROM verbatik_processes WHERE pid = 1 UNION ALL SELECT p.pid, p.rss, c.depth + 1 FROM verbatik_processes p JOIN c ON p.ppid = c.pid WHERE c.depth < 50) SELECT count(*) AS n, sum(rss) AS rss FROM (SELECT DISTINCT pid, rss FROM c)")
+    closure = """WITH RECURSIVE c(pid, rss, path) AS (
+        SELECT pid, rss, array(pid) FROM verbatik_processes WHERE pid = 1
+        UNION ALL SELECT p.pid, p.rss, concat(c.path, array(p.pid)) FROM verbatik_processes p JOIN c ON p.ppid = c.pid WHERE NOT array_contains(c.path, p.pid))
+        SELECT count(*) AS n, sum(rss) AS rss FROM (SELECT DISTINCT pid, rss FROM c)"""
+    return spark.sql(closure)
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: abs(v) * least(1, (i - 1) / 10.0) * least(1, (len(embedding) - i) / 10.0))), 3) AS level FROM embeddings")
@@ -227,10 +241,15 @@ def microfade(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(faded, F.lit(0.0), lambda a, v: a + F.abs(v)), 3).alias("level"))
 
 
-@query("SELECT vec_id, (2 * len(embedding) + 200)::BIGINT AS n FROM embeddings")
+# fades of ten samples at both ends of each part, and 200 samples of silence between
+_FADED = "list_transform(embedding, lambda v, i: v * least(1, (i - 1) / 10.0) * least(1, (len(embedding) - i) / 10.0))"
+
+
+@query(f"SELECT vec_id, len(x)::BIGINT AS n, round(list_sum(list_transform(x, lambda v, i: v * i)), 2) AS moment FROM (SELECT vec_id, {_FADED} || list_transform(range(200), lambda z: 0.0) || {_FADED} AS x FROM embeddings)")
 def silence_concat(spark, sf_dir):
     joined = arrays.join_with_pauses([F.col("embedding"), F.col("embedding")], 1000, [200], 10)
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.size(joined).cast("long").alias("n"))
+    moment = F.aggregate(F.transform(joined, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.size(joined).cast("long").alias("n"), F.round(moment, 2).alias("moment"))
 
 
 @query()
@@ -268,3 +287,188 @@ def plural_surfaces(spark, sf_dir):
 @query()
 def speech_chunks(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+_ALONE = abbreviations.ANY.replace("'", "''")
+# every character that can stand on either side of an abbreviation is doubled, so that a match leaves one to its neighbour
+_DOUBLED = r"regexp_replace(text, '([\t\n\f\r ,;:!?<])', '\1\1', 'g')"
+
+
+@query(rf"""SELECT doc_id, lower(m) AS abbreviation, count(*) AS n FROM (SELECT doc_id,
+unnest(regexp_extract_all({_DOUBLED}, '(?:^|[^A-Za-z0-9<>])({_ALONE})(?:[\t\n\f\r ,;:!?<]|$)', 1)) AS m FROM documents) GROUP BY ALL""")
+def abbreviation_counts(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(abbreviations.surfaces(F.col("text"))).alias("m"))
+    return rows.groupBy("doc_id", F.lower("m").alias("abbreviation")).agg(F.count("*").alias("n"))
+
+
+_CASES = [("He met ", "Dr.", " Smith"), ("on Elm ", "Dr.", " today"), ("12 Oak Hill ", "Dr.", ""), ("on 5th ", "St.", " now"), ("in ", "St.", " Louis"), ("a ", "No.", " 5"), ("say ", "no.", " more"), ("6 ", "ft.", " tall"), ("the ", "ft.", " x"), ("the ", "U.S.", " He left"), ("the ", "u.s.", " he")]
+_STANDS = [("Doctor",), ("Drive",), ("Drive",), ("Street",), ("Saint",), ("number",), (None,), ("foot",), (None,), ("U S. …",), ("U S",)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{m}', '{b}', {'NULL' if e is None else chr(39) + e + chr(39)})" for (a, m, b), (e,) in zip(_CASES, _STANDS, strict=True)) + ") AS t(before, own, after, expansion)")
+def abbreviation_contexts(spark, sf_dir):
+    rows = spark.createDataFrame(_CASES, "before string, own string, after string")
+    return rows.withColumn("expansion", abbreviations.expansion(F.col("own"), F.col("before"), F.col("after")))
+
+
+_MERGED_TOKENS = f"SELECT doc_id, unnest(regexp_extract_all(text, '{MERGED.replace(chr(39), chr(39) * 2)}')) AS token FROM documents"
+
+
+@query(f"SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE contains(token, '.') AND length(token) > 1) AS n_merged FROM ({_MERGED_TOKENS}) GROUP BY doc_id")
+def merged_tokens(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(token_array(F.col("text"), merged=True)).alias("token"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("token").contains(".") & (F.length("token") > 1)).alias("n_merged"))
+
+
+# Homographs, from the entries: those with a reading for a verb, noun, adjective or adverb, and five that are tuned by hand.
+_LIVE = sorted({w.lower() for t, w, v, i in lexicon.ENTRIES if v in ("VERB", "NOUN", "ADJ", "ADV")})
+_SQL_RULES = "(VALUES " + ", ".join([*(f"('{w}', (SELECT min(ipa) FROM {_ENTRIES} WHERE key = '{w}' AND variant = 'DEFAULT'), 'gold:DEFAULT')" for w in _LIVE), *(f"('{w}', '{other}', 'hand-tuned')" for w, (_, other) in resolve.TUNED.items())]) + ") AS r(key, ipa, label)"
+_FOLDED_TOKENS = f"SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{MERGED.replace(chr(39), chr(39) * 2)}') AS t FROM {_FOLDED})"
+# Without tags a homograph has its DEFAULT reading. The tables hold no names with a prefix and no past tenses of the rules.
+_RESOLVED = f"""w AS (SELECT *, lower(token) AS key FROM ({_FOLDED_TOKENS}) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}_]')),
+h AS (SELECT w.*, r.ipa, r.label FROM w JOIN {_SQL_RULES} USING (key)),
+free AS (SELECT * FROM w WHERE key NOT IN (SELECT key FROM {_SQL_RULES})),
+d AS (SELECT DISTINCT token FROM free),
+f AS (SELECT token, unnest([1, 2, 3, 4]) AS form, unnest([token, lower(token), strip_accents(token), lower(strip_accents(token))]) AS key FROM d),
+x AS (SELECT f.token, f.form, e.* EXCLUDE (key) FROM f JOIN {_ENTRIES} ON f.key = e.key),
+y AS (SELECT * FROM x QUALIFY form = min(form) OVER (PARTITION BY token, tier_rank)),
+b AS (SELECT token, ipa FROM y WHERE variant IN ('-', 'DEFAULT') AND ipa IS NOT NULL QUALIFY row_number() OVER (PARTITION BY token ORDER BY tier_rank, variant) = 1),
+p AS (SELECT free.*, CASE WHEN regexp_full_match(free.key, 'hm+') THEN 'hˈmː' ELSE b.ipa END AS ipa FROM free LEFT JOIN b USING (token))"""
+
+
+def _plan(spark, sf_dir):
+    return resolve.resolve(read(spark, sf_dir, "documents").select("doc_id", "text"), lexicon.lexicon(spark))
+
+
+@query(f"""WITH {_RESOLVED}, a AS (SELECT doc_id, count(ipa) AS plain, count(*) - count(ipa) AS oov FROM p GROUP BY 1), c AS (SELECT doc_id, count(*) AS hom FROM h GROUP BY 1)
+SELECT doc_id, coalesce(plain, 0) AS plain, coalesce(hom, 0) AS hom, 0::BIGINT AS name, 0::BIGINT AS span, coalesce(oov, 0) AS oov FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def resolve_counts(spark, sf_dir):
+    return resolve.counts(_plan(spark, sf_dir))
+
+
+@query(f"WITH {_RESOLVED} SELECT doc_id, token AS word, array_to_string(regexp_extract_all(ipa, '(?s).'), ' ') AS reading FROM p WHERE ipa IS NOT NULL GROUP BY ALL")
+def lexicon_map(spark, sf_dir):
+    rows = resolve.lexicon_map(_plan(spark, sf_dir)).select("doc_id", F.explode("lexicon").alias("word", "scalars"))
+    return rows.select("doc_id", "word", F.array_join("scalars", " ").alias("reading"))
+
+
+@query(f"""WITH {_RESOLVED}, e AS (SELECT doc_id, sum(2 * length(ipa) + 5) AS more FROM h GROUP BY 1)
+SELECT doc_id, (length(text) + coalesce(more, 0))::BIGINT AS n_chars FROM {_FOLDED} LEFT JOIN e USING (doc_id)""")
+def annotated_length(spark, sf_dir):
+    return resolve.annotated(_plan(spark, sf_dir)).select("doc_id", F.length("annotated").cast("long").alias("n_chars"))
+
+
+# Texts of our own with names, past tenses and homographs, and what is to come of them.
+_SAID = [(1, "O'Brien's live project was read yesterday."), (2, "McAllister used to lead, hmm."), (3, "She read it while he walked. Riley's permit"), (4, None)]
+
+
+@query("SELECT * FROM (VALUES ('homograph', 'gold:DEFAULT', 2), ('homograph', 'hand-tuned', 2), ('pennContext', 'gold:VBD', 2), ('pennContext', 'gold:VBN', 1), ('properName', 'celtic-respell:gold', 1), ('properNameFallback', NULL, 1)) AS t(reason, label, n)")
+def provenance_counts(spark, sf_dir):
+    said = spark.createDataFrame(_SAID, "doc_id long, text string")
+    return resolve.reasons(resolve.resolve(said, lexicon.lexicon(spark))).withColumn("n", F.col("n").cast("int"))
+
+
+_NAMES = ["O'Brien", "O'Riley's", "McBryan", "MacNeil's", "McRead", "O'Xavier's", "Macbeth", "McX"]
+
+
+@query("""SELECT * FROM (VALUES ('O''Brien', 'ObɹˈIən', 'respelling', NULL), ('O''Riley''s', 'OɹˈIliz', 'compose', NULL), ('McBryan', 'mˈɪkbɹˈIən', 'compose', NULL),
+('MacNeil''s', 'mˈæknˈilz', 'respelling', NULL), ('McRead', 'mˈɪkɹˈid', 'compose', NULL), ('O''Xavier''s', NULL, NULL, 'Oh Xavier''s')) AS t(source, ipa, provenance, alias)""")
+def name_readings(spark, sf_dir):
+    said = spark.createDataFrame([(i, f"so {n}, then") for i, n in enumerate(_NAMES)], "doc_id long, text string")
+    return names.read(names.find(said), lexicon.lexicon(spark)).select("source", "ipa", "provenance", "alias")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}'']+')) AS word FROM documents),
+f AS (SELECT word, unnest([1, 2, 3, 4]) AS form, unnest([word, lower(word), strip_accents(word), lower(strip_accents(word))]) AS key FROM w),
+x AS (SELECT f.word, f.form, e.* EXCLUDE (key) FROM f JOIN {_ENTRIES} ON f.key = e.key),
+y AS (SELECT * FROM x QUALIFY form = min(form) OVER (PARTITION BY word, tier_rank)),
+z AS (SELECT word, min(tier_rank) AS least, bool_or(variant <> '-') AS tagged FROM y GROUP BY word)
+SELECT CASE WHEN y.word IS NULL THEN 'homograph' ELSE 'plain' END AS way, y.tier, count(*) AS n FROM z LEFT JOIN y ON y.word = z.word AND y.tier_rank = z.least AND y.variant = '-' AND y.ipa IS NOT NULL
+WHERE y.word IS NOT NULL OR tagged GROUP BY ALL""")
+def scanned_lexicon(spark, sf_dir):
+    found = resolve.scanned_lexicon(read(spark, sf_dir, "documents"), lexicon.lexicon(spark))
+    return found.groupBy("way", "tier").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT key AS word, min(ipa) AS ipa FROM {_ENTRIES} WHERE key IN ('Bryan', 'read', 'the', 'used') AND variant IN ('-', 'DEFAULT') AND ipa IS NOT NULL GROUP BY key")
+def curated_lexicon(spark, sf_dir):
+    return resolve.curated_lexicon(read(spark, sf_dir, "documents"), lexicon.lexicon(spark), words=("Bryan", "read", "the", "used", "nowhere"))
+
+
+@query("SELECT 'small' AS id, 'local' AS backend, 'here' AS runner, 'af_heart' AS voice UNION ALL SELECT 'large', 'remote', 'there', 'bf_emma' UNION ALL SELECT 'mini', 'local', 'here', 'bf_emma'")
+def model_dispatch(spark, sf_dir):
+    return registry.dispatched(registry.models(spark), {"local": "here", "remote": "there"}, "bf_emma").select("id", "backend", "runner", "voice")
+
+
+@query(f"SELECT v AS voice, v || CASE WHEN v = 'af_heart' THEN ' (default)' ELSE '' END AS label FROM (SELECT unnest({_list(VOICES)}) AS v)")
+def voice_list(spark, sf_dir):
+    return registry.voices(spark, VOICES, "af_heart")
+
+
+@query("SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[^\\t\\n\\x0b\\f\\r\\x{85}\\p{Z}]+'))::BIGINT AS words, length(text) / 2.5 AS chars_per_second, len(regexp_extract_all(text, '[^\\t\\n\\x0b\\f\\r\\x{85}\\p{Z}]+')) / 2.5 AS words_per_second FROM documents")
+def text_rates(spark, sf_dir):
+    return rates.text_rates(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", F.lit(2.5))
+
+
+@query("SELECT vec_id, len(embedding) / 24000.0 AS seconds, len(embedding) / 24000.0 / 0.5 AS real_time_factor FROM embeddings")
+def sound_rates(spark, sf_dir):
+    return rates.sound_rates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 24000, F.lit(0.5))
+
+
+@query("SELECT * FROM (VALUES (1, 0, 10240::BIGINT), (20, 1, 2048), (21, 20, 0)) AS t(pid, ppid, rss)")
+def process_listing(spark, sf_dir):
+    lines = ["  PID  PPID   RSS", "    1     0    10", "\t20 1\t2", "21 20 0", "", "22 x 9", "23 1"]
+    return processes(spark.createDataFrame([(x,) for x in lines], "line string"))
+
+
+@query(f"SELECT o_orderkey, {_sql_cardinal('o_orderkey')} AS words FROM orders")
+def grouped_cardinals(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", numbers.grouped_cardinal(F.format_number("o_orderkey", 0)).alias("words"))
+
+
+_TENS_OF = "CASE p_size // 10 WHEN 0 THEN 'zeros' WHEN 1 THEN 'tens' WHEN 2 THEN 'twenties' WHEN 3 THEN 'thirties' WHEN 4 THEN 'forties' WHEN 5 THEN 'fifties' END"
+
+
+@query(f"SELECT p_partkey, {_TENS_OF} AS decade FROM part")
+def decade_words(spark, sf_dir):
+    tens = F.floor(F.col("p_size") / 10) * 10
+    return read(spark, sf_dir, "part").select("p_partkey", numbers.decade(numbers.cardinal(tens)).alias("decade"))
+
+
+_ROMAN = "repeat('X', p_size // 10) || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][p_size % 10 + 1]"
+
+
+@query("SELECT p_partkey, p_size AS value FROM part WHERE p_size > 0")
+def roman_values(spark, sf_dir):
+    ones = F.array(*(F.lit(x) for x in ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]))
+    written = F.concat(F.expr("repeat('X', cast(p_size div 10 as int))"), F.element_at(ones, F.col("p_size") % 10 + 1))
+    return read(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", numbers.roman(written).alias("value"))
+
+
+@query(f"""WITH y AS (SELECT o_orderkey, o_orderkey % 3000 AS n, (o_orderkey % 3000) // 100 AS hi, (o_orderkey % 3000) % 100 AS lo FROM orders)
+SELECT o_orderkey, CASE WHEN n NOT BETWEEN 1100 AND 2099 THEN ({_sql_cardinal('n')}) WHEN lo = 0 THEN ({_sql_cardinal('hi')}) || ' hundred' WHEN hi % 10 = 0 AND lo < 10 THEN ({_sql_cardinal('n')})
+WHEN lo < 10 THEN ({_sql_cardinal('hi')}) || ' oh ' || ({_sql_cardinal('lo')}) ELSE ({_sql_cardinal('hi')}) || ' ' || ({_sql_cardinal('lo')}) END AS words FROM y""")
+def range_ends(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", numbers.range_end((F.col("o_orderkey") % 3000).cast("string")).alias("words"))
+
+
+_SYMBOLS = sorted({c for _, _, _, i in lexicon.ENTRIES if i for c in i} - set("ʤʌ"))
+
+
+@query(f"SELECT tier, key AS word, variant, bad FROM (SELECT *, list_filter(regexp_extract_all(ipa, '.'), lambda c: NOT list_contains({_list(_SYMBOLS)}, c))[1] AS bad FROM {_ENTRIES}) WHERE bad IS NOT NULL")
+def vocab_validation(spark, sf_dir):
+    return lexicon.invalid_scalars(lexicon.lexicon(spark), _SYMBOLS).select("tier", "word", "variant", "bad")
+
+
+def _sql_url(column: str) -> str:
+    """SQL of a URL's reading: the protocol, then dots before the first slash, then marks and digits everywhere."""
+    s = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({column}, '(?i)https://', 'https ', 'g'), '(?i)http://', 'http ', 'g'), '(?i)www\\.', 'www ', 'g'), ':([0-9]+)', ' colon \\1', 'g')"
+    s = f"replace(regexp_extract({s}, '^[^/]*'), '.', ' dot ') || regexp_replace({s}, '^[^/]*', '')"
+    for mark, name in [("/", "slash"), ("-", "dash"), ("_", "underscore"), ("?", "question mark"), ("=", "equals"), ("&", "and"), ("%", "percent"), *zip("0123456789", "oh one two three four five six seven eight nine".split(), strict=True)]:
+        s = f"replace({s}, '{mark}', ' {name} ')"
+    return f"trim(regexp_replace({s}, '[ \\t\\n]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, url, {_sql_url('url')} AS alias FROM pages")
+def url_alias(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", "url", rewrite.url_alias(F.col("url")).alias("alias"))

@@ -46,3 +46,27 @@ def wav_bytes(samples: Column, rate: int) -> Column:
         return rows.map(one)
 
     return run(samples)
+
+
+def write_wavs(rows, name: str, samples: str, rate: int, path: str) -> None:
+    """One WAV file a row, (name, bytes), in one Parquet table; the commit protocol makes it whole or absent."""
+    rows.select(name, wav_bytes(F.col(samples), rate).alias("wav")).write.mode("overwrite").parquet(path)
+
+
+def write_whole(rows, path: str) -> None:
+    """Replace the table at path: readers see the old one or the new one, for files are committed when all are written."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def markdown_table(header: list[str], cells: Column, rows, order: list[str]):
+    """(line) of a Markdown table with a header, in order; rows are few, as a summary's are."""
+    spark = rows.sparkSession
+    top = spark.createDataFrame([(0, "| " + " | ".join(header) + " |"), (1, "|" + "---|" * len(header))], "at long, line string")
+    ranked = rows.select(cells.alias("line"), *order).orderBy(*order).select((F.monotonically_increasing_id() + 2).alias("at"), "line")
+    return top.unionByName(ranked).orderBy("at").select("line")
+
+
+def trace_lines(reasons, n_words: Column):
+    """(reason, line): a line for each reason and label of resolve.reasons(), by reason, then by label."""
+    shown = F.format_string("%s %s: %d of %d", "reason", F.coalesce("label", F.lit("—")), "n", n_words)
+    return reasons.select("reason", F.coalesce("label", F.lit("—")).alias("label"), shown.alias("line")).orderBy("reason", "label")
