@@ -245,12 +245,84 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "<p>no</p>"
 def test_extract(spark):
     rows = spark.createDataFrame([(i, "http://h.org/x", PAGE % (i, i)) for i in range(6)] + [(7, None, None), (8, "http://one.org/", "<p>alone &amp; free</p>"), (9, "x", "")], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in extract.extract(rows).collect()}
-    assert got[2] == "Head & line 2\n\nFirst bold text 2"
+    assert got[2] == "Head & line 2\n\nFirst bold text 2\n\nSecond <p>\n\nShared by all"
     assert (got[7], got[8], got[9]) == ("", "alone & free", "")
     assert extract.main_text(PAGE % (3, 3)) == "Head & line 3\n\nFirst bold text 3\n\nSecond <p>\n\nShared by all"
     assert extract.extract(rows.limit(0)).count() == 0
 
 
+def plain_page(i: int, layout: int = 0) -> str:
+    """A page that marks nothing: what all pages of its layout share is boilerplate."""
+    words = " ".join(f"w{i}x{j}" for j in range(30))
+    top = ["<div>Welcome to the site</div>", "<table><tr><td>Our other layout</td></tr></table>"][layout]
+    return f"<body>{top}<div><p>Start of {i}</p><p>{words}</p><p>Follow us every day</p></div><div>Made by hand</div></body>"
+
+
+def plain_text(i: int) -> str:
+    return f"Start of {i}\n\n" + " ".join(f"w{i}x{j}" for j in range(30))
+
+
+def test_templates_decide_on_pages_without_marks(spark, monkeypatch):
+    rows = [(i, f"http://plain.org/{i}", plain_page(i, i % 2)) for i in range(40)] + [(i, f"http://two.org/{i}", plain_page(i)) for i in (100, 101)]
+    pages = spark.createDataFrame(rows + rows[:20], "page_id long, url string, html string")
+    for most in (extract.GROUP_PAGES, 7):
+        monkeypatch.setattr(extract, "GROUP_PAGES", most)
+        got = {r["page_id"]: r["text"] for r in extract.extract(pages).collect()}
+        assert all(got[i] == plain_text(i) for i in range(40))
+        assert got[100].startswith("Welcome to the site") and got[100].endswith("Made by hand")
+
+
+def test_near_copies_of_a_page_make_no_template():
+    story = " ".join(f"word{j}" for j in range(60))
+    pages = [f"<body><p>Visit {i}</p><p>{story}</p></body>" for i in range(6)]
+    assert extract.induce([extract.parse(x) for x in pages]) is None
+    copies = [f"<article><p>visit {i}</p><p>{story}</p></article>" for i in range(6)]
+    assert extract.main_text(copies[0], extract.induce([extract.parse(x) for x in copies])) == f"visit 0\n\n{story}"
+
+
+def slow_match(a, b):
+    """Weight of the best order-preserving match by trying everything."""
+    if not a or not b:
+        return 0
+    x, y = a[0], b[0]
+    best = max(slow_match(a[1:], b), slow_match(a, b[1:]))
+    if x.tag == y.tag:
+        best = max(best, 1 + (x.text == y.text if x.tag == "#" else slow_match(x.children, y.children)) + slow_match(a[1:], b[1:]))
+    return best
+
+
+def test_match_against_trying_everything():
+    rng = random.Random(14)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(0, 4)):
+            node = extract.Node(rng.choice(["#", "p", "div"]), rng.choice("ab"))
+            if node.tag != "#" and depth:
+                node.children = tree(depth - 1)
+            out.append(node)
+        return out
+
+    for _ in range(150):
+        a, b = tree(2), tree(2)
+        pairs = extract.match(a, b)
+        assert extract.size_of_match(a, b) == slow_match(a, b)
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False))
+        weight = sum(1 + (a[i].text == b[j].text if a[i].tag == "#" else slow_match(a[i].children, b[j].children)) for i, j in pairs)
+        assert weight == slow_match(a, b)
+
+
+def test_extract_deep_and_long_pages():
+    import time
+
+    assert extract.main_text("<div>" * 3000 + "x<p>y" + "<nav>n</nav>" + "</div>" * 2000 + "z") == "x\n\ny\n\nz"
+    assert extract.main_text("<nav>" * 1500 + "x") == ""
+    pages = [extract.parse("".join(f"<p>{i} {j}</p>" for j in range(3000))) for i in range(3)]
+    began = time.time()
+    extract.induce(pages)
+    assert time.time() - began < 30
+
+
 def test_extract_names():
     for kept in ('<article class="post no-comments">x</article>', '<main class="has-sidebar">x</main>', '<article class="comments">x</article>', '<div class="sidebar"><article>x</article></div>', '<div class="top search"><h1>x</h1></div>', '<article><section id="related-work">x</section></article>', '<article><h2 id="share">x</h2></article>', '<h2 id="share-prices">x</h2>', *(f"<p><a {a}>x</a></p>" for a in ('href="/hidden-gems"', 'title="a hidden valley"', 'data-hidden="false"', 'href="/p?id=comments"', "href=/p?id=comments", 'data-class="ad"'))):
         assert extract.main_text(kept) == "x", kept
