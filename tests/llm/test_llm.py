@@ -360,6 +360,40 @@ def test_licence_wrapped(spark):
         assert r["licences"] == [f for f in [r["family"]] if f], r["text"]
 
 
+def test_licence_anchors_lose_nothing():
+    model = licence.train(["The cat sat on the mat."], rounds=5)
+    for _, own in model.templates:
+        free = [p for p in own if not set(p.split()) & set(model.anchors)]
+        assert len(free) / len(own) < licence.CONFIRM
+
+
+def test_licence_held_out(spark):
+    """Notices in words that training did not see, wrapped at random, and prose with words of licences."""
+    rng = random.Random(21)
+    model = licence.train([r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()])
+    ways = ["Use of this file is governed by the {}.", "It comes to you under {}, see below.", "All of it is offered on the terms of the {} and no other.", "Terms: {}"]
+    rows = [(f, w.format(n)) for f, own in licence.NAMES.items() for n in own for w in ways]
+    prose = ["He renewed the license of his car in version 2 of the form.", "The commons voted on the public act, section 3.", "Apache tribes lived there; a new library opened.", "Creative people share their work under pressure.", "The general terms of the lease are on page 2.0.", "She is licensed to fly and to teach at the MIT campus.", "The clause was new and simplified, in two parts."]
+    rows += [("", p) for p in prose * 12]
+
+    def wrapped(text):
+        words, lines = text.split(), [[]]
+        for w in words:
+            if len(lines[-1]) >= rng.randint(3, 9):
+                lines.append([])
+            lines[-1].append(w)
+        return "Opening words of it.\n\n" + "\n".join(map(" ".join, lines)) + "\n\nClosing words of it."
+
+    data = spark.createDataFrame([(i, f, wrapped(t)) for i, (f, t) in enumerate(rows)], "i long, want string, text string")
+    got = [(r["want"], set(r["licences"])) for r in licence.scan(data, model).select("want", "licences").collect()]
+    hits = sum(w in found for w, found in got if w)
+    reported = sum(len(found) for _, found in got)
+    right = sum(w in found for w, found in got if w)
+    print("licence recall", hits / sum(bool(w) for w, _ in got), "precision", right / reported)
+    assert hits >= 0.9 * sum(bool(w) for w, _ in got)
+    assert right >= 0.95 * reported
+
+
 def test_score(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     tokens = {r["doc_id"]: [*r["text"].encode().lower().split(), b""] for r in docs.collect()}

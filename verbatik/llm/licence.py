@@ -56,11 +56,21 @@ OPENING_TEXTS = {
     "unlicense": ["This is free and unencumbered software released into the public domain"],
     "bsd-3-clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "gpl-3.0": ["it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "gpl-2.0": ["it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
+    "lgpl-3.0": ["it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "agpl-3.0": ["it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "cc0-1.0": ["has waived all copyright and related or neighboring rights to this work"],
 }
 # Lines that share words with notices and are none.
 OTHERS = ["He has a driving license and a fishing license.", "The license fee was released last year.", "A general public library under the new act", "The album was released under the title", "She was licensed to practise in 2004.", "Version 2.0 of the program is available", "Version 3 was distributed in March", "The Apache people of the plains", "Apache helicopters, version 2", "The gnu is a large antelope", "MIT students won the prize", "Mozilla Firefox is a browser", "Creative work is common in schools", "Commons sat until four", "All rights reserved.", "Copyright 2019 by the authors", "the international attribution of the painting", "this software and the public", "license", "under the terms of the treaty", "the source code of the program", "Proprietary license, all rights reserved", "Licensed under a commercial license agreement", "this work is under review", "BSD systems and others", "free of charge to any person"]
 
 
+#: Words that mark most notices, and words of notices that prose has often.
+FIRST = "license licence licensed licenses licenced gpl lgpl agpl apache bsd mit mpl mozilla isc cc cc0 creative commons gnu unlicense spdx".split()
+COMMON = "the this of to and or a in for any with under is you may not use all by it".split()
+
+
 def words(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
@@ -85,6 +95,21 @@ class Model:
     anchors: list[str]
 
 
+def anchor_words(templates: list[list[str]]) -> list[str]:
+    """Words without one of which no template can be confirmed: of every template more than the share of pairs that may be
+    missing holds one. So paragraphs without them can be passed over and no result changes.
+
+    FIRST comes first; then, for a template that is still open, its longest words that are not among the COMMON.
+    """
+    found = set(FIRST)
+    for own in templates:
+        for w in sorted({w for p in own for w in p.split()}, key=lambda w: (w in COMMON or w.isdigit(), -len(w), w)):
+            if sum(not found.isdisjoint(p.split()) for p in own) > (1 - CONFIRM) * len(own):
+                break
+            found.add(w)
+    return sorted(found)
+
+
 def _notices() -> list[tuple[str, str]]:
     out = [(f, o.format(n)) for f, names in NAMES.items() for n in names for o in OPENINGS]
     return out + [(f, t) for f, texts in OPENING_TEXTS.items() for t in texts for _ in range(len(OPENINGS))]
@@ -94,7 +119,8 @@ def train(lines: list[str], rounds: int = 400, rate: float = 1.0, penalty: float
     """Fit on the notices and on lines, which are taken as no notices unless they name a licence or come near to it."""
     notices = _notices()
     families = [UNKNOWN, *sorted(NAMES)]
-    anchors = sorted({w for n in NAMES.values() for x in n for w in words(x) if not w.isdigit() and len(w) > 2 and w not in ("general", "public", "new", "the", "version", "clause")} | {w for w in words(" ".join(itertools.chain(*OPENING_TEXTS.values()))) if w in ("permission", "granted", "licenses", "redistribution", "unencumbered", "endorse")} | {"licensed", "licence", "licenced", "license", "spdx", "cc", "cc0", "isc"})
+    templates = [(f, sorted(pairs(words(n)))) for own in (NAMES, OPENING_TEXTS) for f, texts in own.items() for n in texts]
+    anchors = anchor_words([own for _, own in templates])
     names = [re.sub(r"[^a-z0-9]+", " ", n.lower()) for own in NAMES.values() for n in own]
     plain = [x for x in lines if x.strip() and not any(n in re.sub(r"[^a-z0-9]+", " ", x.lower()) for n in names)]
     examples = [(families.index(f), grams(words(t))) for f, t in notices] + [(0, grams(words(t))) for t in [*OTHERS * 12, *plain]]
@@ -130,14 +156,14 @@ def train(lines: list[str], rounds: int = 400, rate: float = 1.0, penalty: float
     scale, offset = min(itertools.product((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), (-2.0, -1.0, 0.0, 1.0, 2.0)), key=lambda c: (loss(*c), c))
     w, b = w * scale, b * scale
     b[0] += offset
-    templates = [(f, sorted(pairs(words(n)))) for f, own in NAMES.items() for n in own] + [(f, sorted(pairs(words(x)))) for f, own in OPENING_TEXTS.items() for x in own]
     return Model(families, vocabulary, np.round(w, 4), np.round(b, 4), templates, anchors)
 
 
 def classify(text: Column, model: Model) -> Column:
     """array<struct<paragraph int, family, probability, confirmed>> of the lines and windows of text that hold a word of licences.
 
-    Only native functions. A null text gives an empty array. Lines without such a word are `unknown` and left out. Windows
+    Only native functions. A null text gives an empty array. Lines without such a word can be confirmed as no family
+    (anchor_words) and are left out. Windows
     come after all lines and are numbered on from them; what fits in one line has no window.
     """
     strings = lambda xs: F.array(*(F.lit(x) for x in xs)).cast("array<string>")
@@ -201,14 +227,21 @@ def sample_lines(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -
 
 
 def op4_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, family, all_families, n_candidates, probability) of every row of documents.
+
+    family is that of the most probable confirmed paragraph (ties: the first), `unknown` without one; all_families are all
+    that are confirmed, ascending. Null and empty texts are `unknown`; repeated rows and ids stay; further columns are not
+    read; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scan(docs, train(sample_lines(docs)))
     sure = F.filter("paragraphs", lambda p: F.array_contains(F.col("licences"), p["family"]) & p["confirmed"])
-    out = out.withColumn("probability", F.coalesce(F.array_max(F.transform(sure, lambda p: p["probability"])), F.lit(0.0)))
+    # of equal probabilities the first paragraph's, which the largest negative place makes
+    out = out.withColumn("best", F.array_max(F.transform(sure, lambda p: F.struct(p["probability"].alias("probability"), (-p["paragraph"]).alias("at"), p["family"].alias("family")))))
     return out.select(
         "doc_id",
-        F.when(F.size("licences") > 0, F.element_at("licences", 1)).otherwise(UNKNOWN).alias("family"),
+        F.coalesce("best.family", F.lit(UNKNOWN)).alias("family"),
         F.array_join("licences", ",").alias("all_families"),
         F.size("paragraphs").cast("long").alias("n_candidates"),
-        "probability",
+        F.coalesce("best.probability", F.lit(0.0)).alias("probability"),
     )
