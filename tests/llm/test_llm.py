@@ -129,6 +129,33 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(chat.text_messages(rows.limit(0)))).count() == 0
 
 
+def test_chat_query_against_sql(spark):
+    import duckdb
+
+    from verbatik.llm.registry import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    want = con.sql(ORACLE_SQL["op8_chat"]).df().sort_values("conv_id", ignore_index=True)
+    got = chat.op8_chat(spark, SF).toPandas().sort_values("conv_id", ignore_index=True)[list(want.columns)]
+    assert got.to_dict() == want.to_dict()
+    assert -1 in set(got["conv_id"])
+
+
+def test_ann_query_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    got = ann.op1_ann(spark, sf).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0)[:200]:
+        if ids[q] % 20:
+            continue
+        order = np.lexsort((ids, -(x @ x[q])))
+        hits += len(got[ids[q]] & set(ids[order[order != q][:20]].tolist())) / 20
+    assert hits >= 0.95 * sum(ids[q] % 20 == 0 for q in np.flatnonzero(ids % 50 == 0)[:200])
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((400, 24)).astype(np.float32)

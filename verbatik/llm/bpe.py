@@ -223,6 +223,8 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFr
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of ids and digests of ids and decoded text of every row of documents: null and empty texts have no ids, repeated
+    rows and ids stay, further columns are not read, and an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = encode(docs)
     return out.select(

@@ -168,6 +168,11 @@ def text_messages(rows: DataFrame) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of conversation -1, read back from its formatted string.
+
+    Null texts and roles are empty; turns go in ascending turn, null first, then by role and text; repeated rows stay; rows
+    without a conv_id are one conversation; further columns are not read; an empty table leaves conversation -1 alone.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{END}{START}assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")

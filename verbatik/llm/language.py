@@ -17,8 +17,8 @@ BUCKETS = 1 << 17
 ALPHA = 0.1
 #: The evidence of so many n-grams at most enters the score; overlapping n-grams are not independent.
 EVIDENCE = 64
-#: Characters that are hashed at once.
-BLOCK = 1 << 19
+#: Characters that are hashed at once, and rows of a batch whose texts are held at once.
+BLOCK, ROWS = 1 << 18, 1024
 UNDETERMINED = "und"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +63,7 @@ def bucket_counts(rows: DataFrame, text: str, label: str) -> DataFrame:
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (big.slice(i, ROWS) for big in batches for i in range(0, big.num_rows, ROWS)):
             by: dict[str, list[str]] = {}
             for t, lang in zip(batch.column("body").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 if t and lang is not None:
@@ -128,7 +128,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
         import regex
 
         letter, own = regex.compile(r"\p{L}"), shared.value
-        for batch in batches:
+        for batch in (big.slice(i, ROWS) for big in batches for i in range(0, big.num_rows, ROWS)):
             texts = batch.column(text).to_pylist()
             lang, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             live = [i for i, t in enumerate(texts) if own.labels and t and letter.search(t)]
@@ -154,4 +154,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row of documents.
+
+    Null texts and texts without a letter are `und`; a null lang is not learned from; null ids are not held out; repeated rows
+    stay; further columns are not read; an empty table gives no rows.
+    """
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")

@@ -261,4 +261,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head_words:
 
 
 def op9_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and score of every row of documents, as score() has them: null texts are empty, null ids are learned from,
+    repeated rows count each, further columns are not read, and an empty table gives no rows."""
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -127,7 +127,11 @@ def in_order(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     rows = docs.select(*columns).withColumn("__range", at.cast("int"))
     after = F.when(first, F.lit(last)).when(starts, F.col("__range") - 1)
     marked = rows.withColumn("__to", F.explode(F.array_compact(F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("after")), F.when(after.isNotNull(), F.struct(after.cast("int").alias("r"), F.lit(True).alias("after")))))))
-    dealt = marked.select(*columns, F.col("__to.r").alias("__range"), F.col("__to.after").alias("__after")).repartition(n, "__range")
+    # ranges are dealt by a key whose hash is the range's own partition, so that no two of them share a task
+    hashed = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    own = {r["p"]: r["id"] for r in hashed}
+    deal = F.element_at(F.array(*(F.lit(own.get(i, i)).cast("long") for i in range(n))), F.col("__range") % n + 1)
+    dealt = marked.select(*columns, F.col("__to.r").alias("__range"), F.col("__to.after").alias("__after")).repartition(n, deal)
     others = [c for c in columns if c != key]
     return dealt.sortWithinPartitions("__range", "__after", F.col(key).asc_nulls_last(), *others)
 
@@ -179,4 +183,9 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and likenesses of every row of documents, as edited_likeness() has them.
+
+    Null texts are empty, and two empty texts are alike; null ids come last; rows that repeat an id follow each other by text;
+    further columns are not read; an empty table gives no rows.
+    """
     return edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
