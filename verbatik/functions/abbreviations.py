@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verbatik.functions.numbers import bound
+
 # Abbreviations of any case and what they stand for, in the order of the rules.
 EXPANSIONS = {
     "Mr.": "Mister", "Mrs.": "Missus", "Ms.": "Miss", "Dr.": "Doctor", "Prof.": "Professor", "Rev.": "Reverend", "Hon.": "Honorable", "Mx.": "Mix", "Esq.": "Esquire",
@@ -47,7 +49,7 @@ NEAR = 80
 #: Every abbreviation, the longest first.
 SURFACES = sorted([*EXPANSIONS, *CASED], key=lambda a: -len(a))
 ANY = "|".join(re.escape(a) if a in CASED else f"(?i:{re.escape(a)})" for a in SURFACES)
-PATTERN = rf"(?<![A-Za-z0-9<>])(?:{ANY})(?=[\s,;:!?<]|\z)"
+PATTERN = rf"(?<![A-Za-z0-9<>])(?=[A-Za-z][A-Za-z.]{{0,7}}\.)(?:{ANY})(?=[\s,;:!?<]|\z)"
 
 
 def context(own: Column, left: Column, right: Column) -> Column:
@@ -57,7 +59,11 @@ def context(own: Column, left: Column, right: Column) -> Column:
     number or a capitalised word. A house number, or a capitalised word before the ending of a street name, makes a place, a
     capitalised word after it a title.
     """
-    left, right = F.regexp_replace(left, r"[ \t]+\z", ""), F.regexp_replace(right, r"^[ \t]+", "")
+    sides = F.struct(F.regexp_replace(left, r"[ \t]+\z", "").alias("left"), F.regexp_replace(right, r"^[ \t]+", "").alias("right"))
+    return bound(sides, lambda s: _context(own, s["left"], s["right"]))
+
+
+def _context(own: Column, left: Column, right: Column) -> Column:
     named = F.lower(F.regexp_extract(right, r"^[\s's.,;:!?]*([^\s]*?)[\s's.,;:!?]*(?:\s|\z)", 1)).isin([*SAINTS, *TOWNS])
     recent = F.right(left, F.lit(30))
     street = left.rlike(r"[A-Z][a-z]+\s*\z")
@@ -78,11 +84,16 @@ def expansion(surface: Column, left: Column, right: Column) -> Column:
 
     One with two periods or more before a capital begins a new sentence after it and has a pause.
     """
-    own = F.lower(surface)
+    sides = F.struct(F.lower(surface).alias("own"), left.alias("left"), right.alias("right"))
+    return bound(sides, lambda s: _expansion(surface, s["own"], s["left"], s["right"]))
+
+
+def _expansion(surface: Column, own: Column, left: Column, right: Column) -> Column:
     known = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
     plain = F.coalesce(F.try_element_at(known(CASED), surface), F.try_element_at(known({k.lower(): v for k, v in EXPANSIONS.items()}), own))
-    place = context(own, left, right) == "place"
-    words = F.when((own == "dr.") & place, F.lit("Drive")).when((own == "st.") & place, F.lit("Street")).otherwise(plain)
+    # only two abbreviations depend on their context
+    place = F.when(own.isin("dr.", "st."), context(own, left, right) == "place").otherwise(F.lit(False))
+    words = F.when(place, F.when(own == "dr.", F.lit("Drive")).otherwise(F.lit("Street"))).otherwise(plain)
     after = F.when(own == "in.", left.rlike(r"(?:^|[^\w.])\d[\d,]*(?:\.\d+)?\s*\z")).otherwise(left.rlike(r"\d[\d,]*(?:\.\d+)?\s*\z"))
     barred = (own.isin(BEFORE_NUMBER) & ~right.rlike(r"^\s*\d")) | (own.isin(AFTER_NUMBER) & ~after)
     pause = (F.length(F.regexp_replace(surface, r"[^.]", "")) > 1) & F.left(right, F.lit(3)).rlike(r"^\s+[A-Z]")

@@ -335,8 +335,8 @@ def abbreviations(text: Column) -> Column:
             near = F.concat(F.get(found, i - 1), F.get(pieces, i))
             left = F.right(F.coalesce(F.concat(F.get(pieces, i - 1), near), near, F.get(pieces, i)), F.lit(short.NEAR))
             rest = F.concat(F.get(pieces, i + 1), F.coalesce(F.get(found, i + 1), F.lit("")), F.coalesce(F.get(pieces, i + 2), F.lit("")))
-            alias = short.expansion(m, left, rest)
-            return F.when(m.startswith("<") | alias.isNull(), m).otherwise(sub(alias, m))
+            alias = F.when(~m.startswith("<"), short.expansion(m, left, rest))
+            return bound(alias, lambda own: F.when(own.isNull(), m).otherwise(sub(own, m)))
 
         spans = F.transform(found, one)
         return F.when(t.rlike(short.PATTERN), F.array_join(F.zip_with(pieces, spans, lambda s, r: F.concat(s, F.coalesce(r, F.lit("")))), "")).otherwise(t)
