@@ -43,6 +43,32 @@ def test_bpe(spark, odd, empty):
     assert {(r["doc_id"], r["decoded"]) for r in bpe.decode(once).collect()} == {(r["doc_id"], r["decoded"]) for r in bpe.encode(odd).collect()}
 
 
+def test_bpe_words_that_share_a_hash_are_told_apart(spark):
+    rows = [(w.encode(), 2, h, np.asarray(ids, "<u4").tobytes()) for w, h, ids in [("alpha", 7, [1, 2]), ("beta", 7, [3]), ("gamma", -5, [4])]]
+    head = bpe.Head(spark.createDataFrame(rows, "word binary, n_all long, h long, ids binary"))
+    own = [b"alpha", b"beta", b"gamma", b"delta"]
+    at = head.find(own, np.asarray([7, 7, -5, 7]).view(np.uint64)).tolist()
+    found = {w: head.ids[head.edge[i] : head.edge[i + 1]].tolist() for w, i in zip(own, at) if i >= 0}
+    ids = {b"alpha": [1, 2], b"beta": [3], b"gamma": [4]}
+    assert len(found) == 2 and b"gamma" in found and all(ids[w] == x for w, x in found.items())
+    assert set(head.hot) == set(found)
+
+
+def test_bpe_head_is_bounded_in_bytes(spark):
+    words = spark.createDataFrame([(b"a" * 10, 9, b"1234"), (b"b" * 10, 5, b"1234"), (b"c" * 10, 5, b"1234"), (b"d" * 300, 99, b"1234")], "word binary, n_all long, ids binary")
+    one = 10 + 4 + bpe.ENTRY
+    assert [bpe._cut(words, 10, n * one) for n in (3, 2, 1)] == [5, 9, 9]
+    assert bpe._cut(words, 0, 3 * one) > 99
+
+
+def test_bpe_decode_of_unknown_ids_fails(spark):
+    rows = spark.createDataFrame([(1, [3, 4]), (2, None), (3, [])], "doc_id long, ids array<long>")
+    tokenizer = bpe.load_tokenizer(bpe.default_tokenizer())
+    assert {r["doc_id"]: r["decoded"] for r in bpe.decode(rows).collect()} == {1: tokenizer.decode([3, 4], skip_special_tokens=False), 2: None, 3: ""}
+    with pytest.raises(Exception, match="out of bounds"):
+        bpe.decode(spark.createDataFrame([(1, [1 << 40])], "doc_id long, ids array<long>")).collect()
+
+
 def test_language(spark, odd, empty):
     got = {(r["doc_id"], r["text"]): r for r in language.identify(odd).collect()}
     assert got[(2, None)]["lang_pred"] == got[(3, "")]["lang_pred"] == got[(4, "123 456 !!")]["lang_pred"] == "und"

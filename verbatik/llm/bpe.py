@@ -2,18 +2,21 @@
 
 White space never enters a piece of these vocabularies, so a text's ids are its words' ids in order. Words are split and
 counted in Spark; every distinct word is encoded once; the ids return to each text by word position. A word that the
-corpus holds once is encoded where it stands, which is that once. Words down to the count that `head_words` allows are
-broadcast as sorted hashes and flat ids, some 25 bytes a word; all rarer words that occur twice or more come back through
-a shuffled join, so the vocabulary may grow without bound. Ids become text by joining the table of pieces, whose size is
-the tokenizer's.
+corpus holds once is encoded where it stands, which is that once. The most frequent words, as many as HEAD_WORDS and
+HEAD_MEMORY allow, are broadcast with their ids in order of their hashes, and joined within the tasks: found by hash, then
+compared as words. All rarer words that occur twice or more come back through a shuffled join, so the vocabulary may grow
+without bound. Ids become text by a join with the table of pieces, which lies in order of its ids and whose size is the
+tokenizer's: a batch's ids take their pieces from it by place.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ from verbatik.llm.common import as_bytes, expand, fields, materialize, squeeze,
 
 #: Words that are broadcast at most, the longest of them in bytes, and how many of them a worker finds by the word itself.
 HEAD_WORDS, HEAD_BYTES, HOT_WORDS = 2_000_000, 256, 60_000
+#: Bytes that are broadcast at most: words, ids, and ENTRY bytes of hash and offsets for each.
+HEAD_MEMORY, ENTRY = 80 << 20, 20
+#: Texts are looked at in groups of GROUP rows or GROUP_BYTES bytes, whichever is reached first.
+GROUP, GROUP_BYTES = 512, 4 << 20
 #: Distinct words that a counting task holds at a time.
 DISTINCT_WORDS = 150_000
 
@@ -46,13 +53,21 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
-def pieces(path: str) -> list[bytes]:
-    """The piece of every id of the vocabulary."""
+def pieces(path: str) -> pa.Array:
+    """The table of pieces: the piece of every id of the vocabulary, at the id's place."""
     known = load_tokenizer(path).get_vocab(with_added_tokens=True)
-    out = [b""] * (max(known.values()) + 1)
+    out = [""] * (max(known.values()) + 1)
     for piece, i in known.items():
-        out[i] = piece.encode()
-    return out
+        out[i] = piece
+    return pa.array(out, pa.large_string())
+
+
+def joined(ids: list[np.ndarray], table: pa.Array) -> pa.Array:
+    """The text of each array of ids: every id's piece, by position, with a space between. An id without a piece is an error."""
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.uint32)
+    own = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), table.take(pa.array(flat.astype(np.int64))))
+    return pc.binary_join(own, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -69,25 +84,29 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return materialize(hashed.mapInArrow(trimmed(run), "word binary, n_all long, h long, ids binary"), "bpe-words")
 
 
-def _cut(words: DataFrame, most: int) -> int:
-    """The least count that no more than `most` words have or exceed."""
-    room, cut = most, 1 << 62
-    for r in words.groupBy("n_all").agg(F.count("*").alias("n")).orderBy(F.desc("n_all")).toLocalIterator():
-        if r["n"] > room:
+def _cut(words: DataFrame, most: int, memory: int) -> int:
+    """The least count such that the words that have it or more are no more than `most` and take no more than `memory` bytes."""
+    size = F.length("word") + F.length("ids") + ENTRY
+    counts = words.where(F.length("word") <= HEAD_BYTES).groupBy("n_all").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+    cut = 1 << 62
+    for r in counts.orderBy(F.desc("n_all")).toLocalIterator():
+        most, memory = most - r["n"], memory - r["size"]
+        if most < 0 or memory < 0:
             break
-        room, cut = room - r["n"], r["n_all"]
+        cut = r["n_all"]
     return cut
 
 
 class Head:
-    """The frequent words: hot ones by themselves, all by their hash; ids of word i are ids[edge[i]:edge[i + 1]]."""
+    """The frequent words in order of their hashes, hot ones by themselves too; ids of word i are ids[edge[i]:edge[i + 1]]."""
 
     def __init__(self, words: DataFrame):
         hot = words.orderBy(F.desc("n_all"), "word").limit(HOT_WORDS).select("word", "h").toArrow()
-        got = words.select("h", "ids").toArrow()
+        got = words.select("h", "word", "ids").toArrow()
         h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(h)
         self.hash = h[order]
+        self.words = got.column("word").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
         column = got.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
         if len(column):
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -95,8 +114,20 @@ class Head:
             self.ids = np.frombuffer(column.buffers()[2], "<u4")[offsets[0] // 4 : offsets[-1] // 4].astype(np.uint32)
         else:
             self.edge, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        at = np.searchsorted(self.hash, hot.column("h").to_numpy().astype(np.int64).view(np.uint64)).tolist()
-        self.hot = dict(zip(hot.column("word").to_pylist(), at, strict=True))
+        own = hot.column("word").to_pylist()
+        at = self.find(own, hot.column("h").to_numpy().astype(np.int64).view(np.uint64)).tolist()
+        self.hot = {w: i for w, i in zip(own, at, strict=True) if i >= 0}
+
+    def find(self, own: list[bytes], h: np.ndarray) -> np.ndarray:
+        """The place of each word, by its hash and then by comparison; -1 for a word that is not there.
+
+        Of different words with one hash only the first is found here; the others are encoded as words outside the head are.
+        """
+        if not len(self.hash) or not own:
+            return np.full(len(own), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        same = pc.equal(self.words.take(pa.array(at)), pa.array(own, pa.large_binary())).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
 
 
 class Finder:
@@ -107,23 +138,22 @@ class Finder:
 
         self.head, self.digest = head, xxhash.xxh64_intdigest
 
-    def place(self, body: bytes | None) -> tuple[np.ndarray, list[bytes]]:
-        """The head index of every word, or -1-j for the text's j-th distinct missing word, and the missing words."""
-        words = (body or b"").split()
-        out = np.asarray([self.head.hot.get(w, -1) for w in words], np.int32)
+    def place(self, bodies: list[bytes | None]) -> list[tuple[np.ndarray, list[bytes]]]:
+        """For each text the head index of every word, or -1-j for the text's j-th distinct missing word, and the missing words."""
+        split = [(b or b"").split() for b in bodies]
+        words = [w for own in split for w in own]
+        ends = np.cumsum([len(own) for own in split])
+        out = np.fromiter(map(self.head.hot.get, words, repeat(-1)), np.int32, len(words))
         open_ = np.flatnonzero(out < 0)
-        missing: dict[bytes, int] = {}
-        if len(open_):
-            own = [words[i] for i in open_.tolist()]
-            h = np.fromiter((self.digest(w, 42) for w in own), np.uint64, len(own))
-            found = np.full(len(own), -1, np.int64)
-            if len(self.head.hash):
-                at = np.minimum(np.searchsorted(self.head.hash, h), len(self.head.hash) - 1)
-                found = np.where(self.head.hash[at] == h, at, -1)
-            for j in np.flatnonzero(found < 0).tolist():
-                found[j] = -1 - missing.setdefault(own[j], len(missing))
-            out[open_] = found
-        return out, list(missing)
+        own = [words[i] for i in open_.tolist()]
+        h = np.fromiter((self.digest(w, 42) for w in own), np.uint64, len(own))
+        found = self.head.find(own, h)
+        out[open_] = found
+        missing: list[dict[bytes, int]] = [{} for _ in bodies]
+        gone = np.flatnonzero(found < 0)
+        for j, i, text in zip(gone.tolist(), open_[gone].tolist(), np.searchsorted(ends, open_[gone], side="right").tolist(), strict=True):
+            out[i] = -1 - missing[text].setdefault(own[j], len(missing[text]))
+        return list(zip(np.split(out, ends[:-1]), map(list, missing), strict=True)) if bodies else []
 
     def ids(self, at: np.ndarray, missing: list[np.ndarray]) -> np.ndarray:
         """The ids of a text from its words' places and the missing words' ids."""
@@ -143,6 +173,17 @@ class Finder:
         return out
 
 
+def groups(batches, text: str):
+    """Rows of each batch with the bytes of their texts, a bounded group at a time."""
+    for big in batches:
+        for batch in (big.slice(i, GROUP) for i in range(0, big.num_rows, GROUP)):
+            bodies = as_bytes(batch.column(text))
+            block = np.cumsum([len(b or b"") for b in bodies]) // GROUP_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                yield batch.slice(a, b - a), bodies[a:b]
+
+
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """docs without the text and with `ids` (binary: little-endian unsigned 32-bit) and `decoded` (string), of whole texts.
 
@@ -153,7 +194,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
     spark = docs.sparkSession
     docs = docs.drop(*(c for c in docs.columns if c in ("ids", "decoded") and c != text))
     words = word_table(docs, path, text)
-    in_head = (F.col("n_all") >= _cut(words, head_words)) & (F.length("word") <= HEAD_BYTES)
+    in_head = (F.col("n_all") >= _cut(words, head_words, HEAD_MEMORY)) & (F.length("word") <= HEAD_BYTES)
     head = spark.sparkContext.broadcast(Head(words.where(in_head)))
     tail = words.where(~in_head)
     kept = [c for c in docs.columns if c != text]
@@ -162,17 +203,14 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
     def once(word: bytes) -> np.ndarray:
         return np.asarray(load_tokenizer(path).encode(word.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
 
-    def finished(batch, ids: list[np.ndarray], piece):
-        decoded = [b" ".join([piece[i] for i in x.tolist()]) for x in ids]
-        arrays = [batch.column(c) for c in kept] + [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())]
+    def finished(batch, ids: list[np.ndarray], table: pa.Array):
+        arrays = [batch.column(c) for c in kept] + [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), joined(ids, table)]
         return pa.RecordBatch.from_arrays(arrays, names=[*kept, "ids", "decoded"])
 
     def whole(batches):
-        finder, piece = Finder(head.value), pieces(path)
-        for big in batches:
-            for batch in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
-                placed = [finder.place(b) for b in as_bytes(batch.column(text))]
-                yield finished(batch, [finder.ids(at, [once(w) for w in missing]) for at, missing in placed], piece)
+        finder, table = Finder(head.value), pieces(path)
+        for batch, bodies in groups(batches, text):
+            yield finished(batch, [finder.ids(at, [once(w) for w in missing]) for at, missing in finder.place(bodies)], table)
 
     if not tail.limit(1).count():
         return docs.select(*kept, text).mapInArrow(trimmed(whole), schema)
@@ -181,22 +219,21 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
         import xxhash
 
         finder = Finder(head.value)
-        for big in batches:
-            for batch in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
-                bodies = as_bytes(batch.column(text))
-                placed = [finder.place(b) for b in bodies]
-                keys = [xxhash.xxh3_64_intdigest(b or b"") - (1 << 63) for b in bodies]
-                arrays = [batch.column(c) for c in kept] + [pa.array(keys, pa.int64()), pa.array([squeeze(at) for at, _ in placed], pa.binary()), pa.array([m for _, m in placed], pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "__key", "__at", "__rare"])
+        for batch, bodies in groups(batches, text):
+            placed = finder.place(bodies)
+            keys = [xxhash.xxh3_64_intdigest(b or b"") - (1 << 63) for b in bodies]
+            arrays = [batch.column(c) for c in kept]
+            arrays += [pa.array(keys, pa.int64()), pa.array([squeeze(at) for at, _ in placed], pa.binary()), pa.array([m for _, m in placed], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "__key", "__at", "__rare"])
 
     def unpack(batches):
-        finder, piece = Finder(head.value), pieces(path)
+        finder, table = Finder(head.value), pieces(path)
         for batch in batches:
             ids = []
             for at, rare, found in zip(*(batch.column(c).to_pylist() for c in ("__at", "__rare", "__found")), strict=True):
                 own = {f["word"]: np.frombuffer(f["ids"], "<u4") for f in found or ()}
                 ids.append(finder.ids(expand(at, np.int32), [own[w] if w in own else once(w) for w in rare]))
-            yield finished(batch, ids, piece)
+            yield finished(batch, ids, table)
 
     packed = docs.select(*kept, text).mapInArrow(trimmed(pack), fields(docs.select(*kept), "__key long, __at binary, __rare array<binary>"))
     asked = packed.select("__key", F.explode("__rare").alias("word"))
@@ -212,12 +249,12 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFr
     names, packed = rows.columns, rows.schema[ids].dataType.simpleString() == "binary"
 
     def run(batches):
-        piece = pieces(path)
+        table = pieces(path)
         for batch in batches:
-            own = batch.column(ids).to_pylist()
-            lists = [x if x is None or not packed else np.frombuffer(x, "<u4").tolist() for x in own]
-            out = [None if x is None else b" ".join([piece[i] for i in x]) for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()).cast(pa.string())], names=[*names, "decoded"])
+            own = batch.column(ids)
+            lists = [np.frombuffer(x or b"", "<u4") if packed else np.asarray(x or [], np.int64) for x in own.to_pylist()]
+            out = pc.if_else(own.is_valid(), joined(lists, table), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*names, "decoded"])
 
     return rows.mapInArrow(trimmed(run), fields(rows, "decoded string"))
 
