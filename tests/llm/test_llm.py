@@ -6,10 +6,12 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from verbatik.llm import ann, bpe, chat, dedup, extract, language, licence, mixing, score, winnow
+from verbatik.llm.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, size long, score string"
@@ -155,17 +157,29 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(chat.text_messages(rows.limit(0)))).count() == 0
 
 
-def test_chat_query_against_sql(spark):
-    import duckdb
-
-    from verbatik.llm.registry import ORACLE_SQL
-
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want, got = con.sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns) and len(want)
+    rows = lambda d: sorted(map(repr, d[columns].astype(object).where(d[columns].notna(), None).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
+    assert name != "op8_chat" or -1 in set(got["conv_id"])
+
+
+@pytest.mark.parametrize("name", ["op2_dart_minhash", "op6_winnow"])
+def test_query_of_odd_texts_against_sql(spark, tmp_path, name):
+    base = " ".join(f"w{i}" for i in range(100))
+    texts = [None, "", "abc", "ABC", "  ", "seven77", "eight888", "é" * 15, "é" * 16, "a\nb" * 9, base, edited(base, 3), edited(edited(base, 3), 90), base.upper(), "one two\x0bthree", "one two three", "𝄞" * 20, "abc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
-    con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
-    want = con.sql(ORACLE_SQL["op8_chat"]).df().sort_values("conv_id", ignore_index=True)
-    got = chat.op8_chat(spark, SF).toPandas().sort_values("conv_id", ignore_index=True)[list(want.columns)]
-    assert got.to_dict() == want.to_dict()
-    assert -1 in set(got["conv_id"])
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want, got = con.sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, str(tmp_path)).toPandas()
+    key = lambda d: d.sort_values("doc_id", ignore_index=True)[sorted(want.columns)].to_dict("list")
+    assert key(got) == key(want)
 
 
 def test_ann_query_recall(spark):

@@ -1,4 +1,4 @@
-"""The queries of this package for the entry module."""
+"""The queries of this package for the entry module, and the SQL that states their rows."""
 
 from __future__ import annotations
 
@@ -15,9 +15,46 @@ from verbatik.llm.winnow import op6_winnow
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_dart_minhash, op3_mixing, op4_licence, op5_extract, op6_winnow, op7_language, op8_chat, op9_score, op10_bpe)}
 
-#: What SQL can state: op8 from the rule of its template. Two control strings of 12 and 10 characters and two line feeds stand
+#: A base and a multiplier that op6's hash of a gram is made with, both odd numbers of 64 bits.
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_POLYNOMIAL = " + ".join(f"(lead(c, {i}) OVER g + 1)::UHUGEINT * {pow(_BASE, 7 - i, 1 << 64)}::UHUGEINT" for i in range(8))
+_TIMES = f"::UHUGEINT * {_MIX}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+#: What SQL can state. op2: all pairs that share a shingle, their Jaccard similarity, and who is reached over links. op6: the hash
+#: of every 8 code points, the least of every 8 in a row. op8: from the rule of its template. Two control strings of 12 and 10 characters and two line feeds stand
 #: around each role and text; a backslash, `<|` in both and a line feed in a role take one character more each.
 ORACLE_SQL: dict[str, str] = {
+    "op2_dart_minhash": r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT text, min(doc_id) AS first, row_number() OVER () AS node FROM d GROUP BY text),
+w AS (SELECT node, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+s AS (SELECT DISTINCT node, unnest(list_transform(range(1, greatest(len(words) - 3, least(len(words), 1) + 1)), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle FROM w),
+k AS (SELECT node, count(*) AS n FROM s GROUP BY node),
+meet AS (SELECT a.node AS a, b.node AS b, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.node <> b.node GROUP BY ALL),
+link AS (SELECT a, b FROM meet JOIN k x ON x.node = a JOIN k y ON y.node = b WHERE 5 * m >= 4 * (x.n + y.n - m)),
+reach AS (SELECT node, node AS other FROM t UNION SELECT reach.node, link.b FROM reach JOIN link ON link.a = reach.other),
+class AS (SELECT reach.node, min(t.first) AS class_id FROM reach JOIN t ON t.node = reach.other GROUP BY reach.node)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM d JOIN t USING (text) JOIN class USING (node)""",
+    "op6_winnow": rf"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text NULLS FIRST) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT r, doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY r), first_value(text) OVER (ORDER BY r)) AS after FROM d),
+e AS (SELECT *, left(text, n - n // 4) || left(after, n // 4) AS edited FROM n),
+t AS (SELECT text, length(text) AS n, row_number() OVER () AS id FROM (SELECT text FROM e UNION SELECT edited FROM e)),
+l AS (SELECT id, n, regexp_extract_all(text, '(?s).') AS chars FROM t WHERE n > 7),
+c AS (SELECT id, n, generate_subscripts(chars, 1) AS i, unicode(unnest(chars)) AS c FROM l),
+p AS (SELECT id, n, i, (({_POLYNOMIAL}) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM c WINDOW g AS (PARTITION BY id ORDER BY i)),
+q AS (SELECT id, n, i, (xor(h, h >> 32){_TIMES} AS h FROM p WHERE i <= n - 7),
+h AS (SELECT id, n, i, (xor(h, h >> 29){_TIMES} >> 20 AS h FROM q),
+m AS (SELECT id, n, i, min(h) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS h FROM h),
+short AS (SELECT id, sha256(text) AS x FROM t WHERE n BETWEEN 1 AND 7),
+x AS (SELECT DISTINCT id, printf('%012x', h) AS hash FROM m WHERE i <= greatest(1, n - 14)
+    UNION ALL SELECT id, '0' || left(x[15:16] || x[13:14] || x[11:12] || x[9:10] || x[7:8] || x[5:6] || x[3:4] || x[1:2], 11) FROM short),
+f AS (SELECT id, list(hash) AS hashes, to_base64(unhex(string_agg(hash[11:12] || hash[9:10] || hash[7:8] || hash[5:6] || hash[3:4] || hash[1:2], '' ORDER BY hash))) AS digest FROM x GROUP BY id),
+y AS (SELECT text, coalesce(hashes, []) AS hashes, coalesce(digest, '') AS digest FROM t LEFT JOIN f USING (id)),
+z AS (SELECT e.*, a.digest, b.digest AS edited_digest, len(a.hashes) AS na, len(b.hashes) AS nb, len(o.hashes) AS no,
+    len(list_intersect(a.hashes, b.hashes)) AS mb, len(list_intersect(a.hashes, o.hashes)) AS mo
+    FROM e JOIN y a ON a.text = e.text JOIN y b ON b.text = e.edited JOIN y o ON o.text = e.after)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, digest AS fingerprint, edited_digest AS edited_fingerprint,
+    CASE WHEN na + nb = 0 THEN 1.0::DOUBLE ELSE mb::DOUBLE / (na + nb - mb) END AS near_edited,
+    CASE WHEN na + no = 0 THEN 1.0::DOUBLE ELSE mo::DOUBLE / (na + no - mo) END AS near_next FROM z""",
     "op8_chat": r"""WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
