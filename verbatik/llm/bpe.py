@@ -24,8 +24,8 @@ from verbatik.llm.common import as_bytes, expand, fields, materialize, squeeze,
 
 #: Words that are broadcast at most, the longest of them in bytes, and how many of them a worker finds by the word itself.
 HEAD_WORDS, HEAD_BYTES, HOT_WORDS = 2_000_000, 256, 60_000
-#: Bytes that are broadcast at most: words, ids, and ENTRY bytes of hash and offsets for each.
-HEAD_MEMORY, ENTRY = 80 << 20, 20
+#: Bytes that are broadcast at most: words, ids, and ENTRY bytes of hash, offsets and rank for each.
+HEAD_MEMORY, ENTRY = 80 << 20, 24
 #: Texts are looked at in groups of GROUP rows or GROUP_BYTES bytes, whichever is reached first.
 GROUP, GROUP_BYTES = 512, 4 << 20
 #: Distinct words that a counting task holds at a time.
@@ -98,16 +98,21 @@ def _cut(words: DataFrame, most: int, memory: int) -> int:
 
 
 class Head:
-    """The frequent words in order of their hashes, hot ones by themselves too; ids of word i are ids[edge[i]:edge[i + 1]]."""
+    """The frequent words in order of their hashes, hot ones by themselves too; ids of the word of rank i are
+    ids[edge[i]:edge[i + 1]]. Ranks go by count, so that a text's frequent words have small numbers, which pack well."""
 
     def __init__(self, words: DataFrame):
         hot = words.orderBy(F.desc("n_all"), "word").limit(HOT_WORDS).select("word", "h").toArrow()
-        got = words.select("h", "word", "ids").toArrow()
+        got = words.select("h", "word", "ids", "n_all").toArrow()
         h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(h)
         self.hash = h[order]
         self.words = got.column("word").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-        column = got.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+        ranked = np.argsort(-got.column("n_all").to_numpy(), kind="stable")
+        self.rank = np.empty(len(order), np.int32)
+        self.rank[ranked] = np.arange(len(order), dtype=np.int32)
+        self.rank = self.rank[order]
+        column = got.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(ranked))
         if len(column):
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             self.edge = ((offsets - offsets[0]) // 4).astype(np.uint32)
@@ -119,7 +124,7 @@ class Head:
         self.hot = {w: i for w, i in zip(own, at, strict=True) if i >= 0}
 
     def find(self, own: list[bytes], h: np.ndarray) -> np.ndarray:
-        """The place of each word, by its hash and then by comparison; -1 for a word that is not there.
+        """The rank of each word, by its hash and then by comparison; -1 for a word that is not there.
 
         Of different words with one hash only the first is found here; the others are encoded as words outside the head are.
         """
@@ -127,7 +132,7 @@ class Head:
             return np.full(len(own), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         same = pc.equal(self.words.take(pa.array(at)), pa.array(own, pa.large_binary())).to_numpy(zero_copy_only=False)
-        return np.where(same, at, -1)
+        return np.where(same, self.rank[at], -1)
 
 
 class Finder:
@@ -139,7 +144,7 @@ class Finder:
         self.head, self.digest = head, xxhash.xxh64_intdigest
 
     def place(self, bodies: list[bytes | None]) -> list[tuple[np.ndarray, list[bytes]]]:
-        """For each text the head index of every word, or -1-j for the text's j-th distinct missing word, and the missing words."""
+        """For each text the rank in the head of every word, or -1-j for the text's j-th distinct missing word, and the missing words."""
         split = [(b or b"").split() for b in bodies]
         words = [w for own in split for w in own]
         ends = np.cumsum([len(own) for own in split])
