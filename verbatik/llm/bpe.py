@@ -5,7 +5,8 @@ counted in Spark; every distinct word is encoded once; the ids return to each te
 corpus holds once is encoded where it stands, which is that once. The most frequent words, as many as HEAD_WORDS and
 HEAD_MEMORY allow, are broadcast with their ids in order of their hashes, and joined within the tasks: found by hash, then
 compared as words. All rarer words that occur twice or more come back through a shuffled join, so the vocabulary may grow
-without bound. Ids become text by a join with the table of pieces, which lies in order of its ids and whose size is the
+without bound; a bitmap of them spares that join the words that occur once. This is one way at every size: it is taken also
+where every repeated word fits the head. Ids become text by a join with the table of pieces, which lies in order of its ids and whose size is the
 tokenizer's: a batch's ids take their pieces from it by place.
 """
 
@@ -26,6 +27,8 @@ from verbatik.llm.common import as_bytes, expand, fields, materialize, squeeze,
 HEAD_WORDS, HEAD_BYTES, HOT_WORDS = 2_000_000, 256, 60_000
 #: Bytes that are broadcast at most: words, ids, and ENTRY bytes of hash, offsets and rank for each.
 HEAD_MEMORY, ENTRY = 80 << 20, 24
+#: Bits of the broadcast bitmap of words outside the head (8 MB): with more such words it lets more others pass to the exact join.
+TAIL_BITS = 1 << 26
 #: Texts are looked at in groups of GROUP rows or GROUP_BYTES bytes, whichever is reached first.
 GROUP, GROUP_BYTES = 512, 4 << 20
 #: Distinct words that a counting task holds at a time.
@@ -97,6 +100,24 @@ def _cut(words: DataFrame, most: int, memory: int) -> int:
     return cut
 
 
+def tail_marks(tail: DataFrame) -> np.ndarray:
+    """A bitmap of TAIL_BITS bits, set where the hash of a word of tail points."""
+    place = F.pmod("h", F.lit(TAIL_BITS))
+    spots = tail.select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32767).alias("spot")).repartition("bucket")
+    out = np.zeros((TAIL_BITS >> 15, 4096), np.uint8)
+    for r in spots.groupBy("bucket").agg(F.bitmap_construct_agg("spot").alias("bits")).toArrow().to_pylist():
+        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def marked(marks: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """For each word whether its bit is set: true of every word of the tail and of few others."""
+    import xxhash
+
+    at = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)) % np.uint64(TAIL_BITS)
+    return (marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 class Head:
     """The frequent words in order of their hashes, hot ones by themselves too; ids of the word of rank i are
     ids[edge[i]:edge[i + 1]]. Ranks go by count, so that a text's frequent words have small numbers, which pack well."""
@@ -202,6 +223,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
     in_head = (F.col("n_all") >= _cut(words, head_words, HEAD_MEMORY)) & (F.length("word") <= HEAD_BYTES)
     head = spark.sparkContext.broadcast(Head(words.where(in_head)))
     tail = words.where(~in_head)
+    marks = spark.sparkContext.broadcast(tail_marks(tail))
     kept = [c for c in docs.columns if c != text]
     schema = fields(docs.select(*kept), "ids binary, decoded string")
 
@@ -212,25 +234,26 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
         arrays = [batch.column(c) for c in kept] + [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), joined(ids, table)]
         return pa.RecordBatch.from_arrays(arrays, names=[*kept, "ids", "decoded"])
 
-    def whole(batches):
-        finder, table = Finder(head.value), pieces(path)
-        for batch, bodies in groups(batches, text):
-            yield finished(batch, [finder.ids(at, [once(w) for w in missing]) for at, missing in finder.place(bodies)], table)
-
-    if not tail.limit(1).count():
-        return docs.select(*kept, text).mapInArrow(trimmed(whole), schema)
-
     def pack(batches):
         import xxhash
+        from pyspark import TaskContext
 
-        finder = Finder(head.value)
+        finder, salt = Finder(head.value), TaskContext.get().partitionId()
         for batch, bodies in groups(batches, text):
             placed = finder.place(bodies)
-            keys = [xxhash.xxh3_64_intdigest(b or b"") - (1 << 63) for b in bodies]
+            keys = [xxhash.xxh3_64_intdigest(b or b"", salt) - (1 << 63) for b in bodies]
             arrays = [batch.column(c) for c in kept]
             arrays += [pa.array(keys, pa.int64()), pa.array([squeeze(at) for at, _ in placed], pa.binary()), pa.array([m for _, m in placed], pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "__key", "__at", "__rare"])
 
+    def ask(batches):
+        for batch in batches:
+            rare = batch.column("__rare")
+            word = rare.flatten().cast(pa.large_binary())
+            kept_word = pa.array(marked(marks.value, word.to_pylist()))
+            key = batch.column("__key").take(pc.list_parent_indices(rare))
+            yield pa.RecordBatch.from_arrays([key.filter(kept_word), word.filter(kept_word).cast(pa.binary())], names=["__key", "word"])
+
     def unpack(batches):
         finder, table = Finder(head.value), pieces(path)
         for batch in batches:
@@ -240,8 +263,9 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
                 ids.append(finder.ids(expand(at, np.int32), [own[w] if w in own else once(w) for w in rare]))
             yield finished(batch, ids, table)
 
-    packed = docs.select(*kept, text).mapInArrow(trimmed(pack), fields(docs.select(*kept), "__key long, __at binary, __rare array<binary>"))
-    asked = packed.select("__key", F.explode("__rare").alias("word"))
+    # dealt by key once: ask() takes every column, so that both of its readers share the exchange
+    packed = docs.select(*kept, text).mapInArrow(trimmed(pack), fields(docs.select(*kept), "__key long, __at binary, __rare array<binary>")).repartition("__key")
+    asked = packed.mapInArrow(trimmed(ask), "__key long, word binary")
     found = asked.join(tail.select("word", "ids"), "word").groupBy("__key").agg(F.collect_set(F.struct("word", "ids")).alias("__found"))
     return packed.join(found, "__key", "left").mapInArrow(trimmed(unpack), schema)
 
