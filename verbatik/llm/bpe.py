@@ -32,7 +32,7 @@ TAIL_BITS = 1 << 26
 #: Texts are looked at in groups of GROUP rows or GROUP_BYTES bytes, whichever is reached first.
 GROUP, GROUP_BYTES = 512, 4 << 20
 #: Distinct words that a counting task holds at a time.
-DISTINCT_WORDS = 150_000
+DISTINCT_WORDS = 400_000
 
 
 def default_tokenizer() -> str:
