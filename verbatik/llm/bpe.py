@@ -81,10 +81,10 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         tokenizer = load_tokenizer(path)
         for batch in batches:
             ids = [np.asarray(tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "n_all", "h", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "n_all", "ids"])
 
-    hashed = counted.select("word", "n_all", F.xxhash64("word").alias("h"))
-    return materialize(hashed.mapInArrow(trimmed(run), "word binary, n_all long, h long, ids binary"), "bpe-words")
+    made = materialize(counted.select("word", "n_all").mapInArrow(trimmed(run), "word binary, n_all long, ids binary"), "bpe-words")
+    return made.select("word", "n_all", F.xxhash64("word").alias("h"), "ids")
 
 
 def _cut(words: DataFrame, most: int, memory: int) -> int:
@@ -110,6 +110,19 @@ def tail_marks(tail: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def words_to_bytes(words: list[bytes]) -> bytes:
+    """Words, which hold no white space, as compressed bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b" ".join(words)) if words else b""
+
+
+def bytes_to_words(data: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data).split() if data else []
+
+
 def marked(marks: np.ndarray, words: list[bytes]) -> np.ndarray:
     """For each word whether its bit is set: true of every word of the tail and of few others."""
     import xxhash
@@ -243,16 +256,16 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
             placed = finder.place(bodies)
             keys = [xxhash.xxh3_64_intdigest(b or b"", salt) - (1 << 63) for b in bodies]
             arrays = [batch.column(c) for c in kept]
-            arrays += [pa.array(keys, pa.int64()), pa.array([squeeze(at) for at, _ in placed], pa.binary()), pa.array([m for _, m in placed], pa.list_(pa.binary()))]
+            arrays += [pa.array(keys, pa.int64()), pa.array([squeeze(at) for at, _ in placed], pa.binary()), pa.array([words_to_bytes(m) for _, m in placed], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "__key", "__at", "__rare"])
 
     def ask(batches):
         for batch in batches:
-            rare = batch.column("__rare")
-            word = rare.flatten().cast(pa.large_binary())
-            kept_word = pa.array(marked(marks.value, word.to_pylist()))
-            key = batch.column("__key").take(pc.list_parent_indices(rare))
-            yield pa.RecordBatch.from_arrays([key.filter(kept_word), word.filter(kept_word).cast(pa.binary())], names=["__key", "word"])
+            rare = [bytes_to_words(x) for x in batch.column("__rare").to_pylist()]
+            words = [w for own in rare for w in own]
+            keys = np.repeat(batch.column("__key").to_numpy(zero_copy_only=False), [len(own) for own in rare])
+            own = np.flatnonzero(marked(marks.value, words))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own], pa.int64()), pa.array([words[i] for i in own.tolist()], pa.binary())], names=["__key", "word"])
 
     def unpack(batches):
         finder, table = Finder(head.value), pieces(path)
@@ -260,11 +273,11 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, head_wo
             ids = []
             for at, rare, found in zip(*(batch.column(c).to_pylist() for c in ("__at", "__rare", "__found")), strict=True):
                 own = {f["word"]: np.frombuffer(f["ids"], "<u4") for f in found or ()}
-                ids.append(finder.ids(expand(at, np.int32), [own[w] if w in own else once(w) for w in rare]))
+                ids.append(finder.ids(expand(at, np.int32), [own[w] if w in own else once(w) for w in bytes_to_words(rare)]))
             yield finished(batch, ids, table)
 
     # dealt by key once: ask() takes every column, so that both of its readers share the exchange
-    packed = docs.select(*kept, text).mapInArrow(trimmed(pack), fields(docs.select(*kept), "__key long, __at binary, __rare array<binary>")).repartition("__key")
+    packed = docs.select(*kept, text).mapInArrow(trimmed(pack), fields(docs.select(*kept), "__key long, __at binary, __rare binary")).repartition("__key")
     asked = packed.mapInArrow(trimmed(ask), "__key long, word binary")
     found = asked.join(tail.select("word", "ids"), "word").groupBy("__key").agg(F.collect_set(F.struct("word", "ids")).alias("__found"))
     return packed.join(found, "__key", "left").mapInArrow(trimmed(unpack), schema)
