@@ -136,7 +136,6 @@ class Head:
     ids[edge[i]:edge[i + 1]]. Ranks go by count, so that a text's frequent words have small numbers, which pack well."""
 
     def __init__(self, words: DataFrame):
-        hot = words.orderBy(F.desc("n_all"), "word").limit(HOT_WORDS).select("word", "h").toArrow()
         got = words.select("h", "word", "ids", "n_all").toArrow()
         h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(h)
@@ -153,8 +152,8 @@ class Head:
             self.ids = np.frombuffer(column.buffers()[2], "<u4")[offsets[0] // 4 : offsets[-1] // 4].astype(np.uint32)
         else:
             self.edge, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        own = hot.column("word").to_pylist()
-        at = self.find(own, hot.column("h").to_numpy().astype(np.int64).view(np.uint64)).tolist()
+        own = got.column("word").take(pa.array(ranked[:HOT_WORDS])).to_pylist()
+        at = self.find(own, h[ranked[:HOT_WORDS]]).tolist()
         self.hot = {w: i for w, i in zip(own, at, strict=True) if i >= 0}
 
     def find(self, own: list[bytes], h: np.ndarray) -> np.ndarray:
