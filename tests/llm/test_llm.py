@@ -379,6 +379,36 @@ def test_match_against_trying_everything():
         assert weight == slow_match(a, b)
 
 
+def test_long_lists_are_matched_whole(monkeypatch):
+    def page(i: int, before: int) -> str:
+        return "".join(f"<p>{i} first {j}</p>" for j in range(before)) + "<ul><li>Follow us</li></ul>" + "".join(f"<div>{i} then {j}</div>" for j in range(200))
+
+    pages = [page(0, 200), page(1, 200), page(2, 5), page(3, 5)]
+    template = extract.induce([extract.parse(x) for x in pages])
+    for x in pages:  # what is constant lies 97 places from its like place
+        text = extract.main_text(x, template)
+        assert "Follow us" not in text and text.count("\n\n") == x.count("<p>") + 199
+
+    rng = random.Random(5)
+
+    def node(depth: int):
+        x = extract.Node(rng.choice(["#", "p", "div"]), rng.choice("abcdef"))
+        if x.tag != "#" and depth < 3:
+            x.children = [node(depth + 1) for _ in range(rng.randrange(4))]
+        return x
+
+    for _ in range(100):
+        a, b = ([node(0) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        monkeypatch.setattr(extract, "LONG", 1 << 30)
+        best = extract.size_of_match(a, b)
+        for long, cells in ((0, 1 << 20), (20, 1 << 20), (0, 5)):
+            monkeypatch.setattr(extract, "LONG", long)
+            monkeypatch.setattr(extract, "CELLS", cells)
+            pairs = extract.match(a, b)
+            assert extract.size_of_match(a, b) == best == sum(extract._weight(a[i], b[j], {}) for i, j in pairs)
+            assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+
+
 def test_extract_deep_and_long_pages():
     import time
 

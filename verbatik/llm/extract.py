@@ -15,6 +15,7 @@ import json
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,10 @@ CONSTANT, COPY = 0.5, 0.8
 GROUP_PAGES, SPLIT_HOSTS = 1024, 50_000
 #: Pages after which a group's tree loses the texts and nodes that less than one of RARE of them has.
 PRUNE_EVERY, RARE = 16, 8
-#: Elements nested deeper are placed beside each other, and children further apart than this in two long lists are not matched.
-DEPTH, BAND = 200, 48
+#: Elements nested deeper are placed beside each other.
+DEPTH = 200
+#: Two lists of children with more pairs are matched row by row over arrays, with so many pairs traced back at once.
+LONG, CELLS = 9216, 1 << 26
 #: Templates of so many bytes together are broadcast; larger ones are joined by host.
 BROADCAST_BYTES = 16 << 20
 
@@ -251,28 +254,133 @@ def _weight(x, y, known: dict) -> int:
 
 
 def _weights(a: list, b: list, known: dict) -> list[list[tuple[int, int]]]:
-    """For each of a's nodes the places of b's nodes of its tag within the band, and the weights of these pairs."""
+    """For each of a's nodes the places of b's nodes of its tag, and the weights of these pairs."""
     places: dict[str, list[int]] = {}
     for j, y in enumerate(b):
         places.setdefault(y.tag, []).append(j)
-    out, wide = [], len(a) * len(b) > (2 * BAND) ** 2
-    for i, x in enumerate(a):
-        near = places.get(x.tag, [])
-        if wide:
-            centre = i * len(b) // len(a)
-            near = near[bisect_left(near, centre - BAND) : bisect_left(near, centre + BAND + 1)]
-        out.append([(j, _weight(x, b[j], known)) for j in near])
-    return out
+    return [[(j, _weight(x, b[j], known)) for j in places.get(x.tag, [])] for x in a]
+
+
+def _texts(node, found: set[str]) -> set[str]:
+    """found with the texts of and below a node."""
+    if node.tag == "#":
+        found.update(node.texts)
+    for c in node.children:
+        _texts(c, found)
+    return found
+
+
+class LongLists:
+    """The weights of all pairs of two long lists, a row of them at a time.
+
+    Nodes without a text in common weigh what their shapes do, so one pair of two shapes stands for all such pairs; only
+    pairs of nodes with a text in common are weighed one by one, and of equal nodes (but for texts that the other list has
+    nowhere) one.
+    """
+
+    def __init__(self, a: list, b: list, known: dict):
+        self.known, self.shapes, self.kinds, self.blind = known, {}, {}, {}
+        below: list[list[set[str]]] = [[_texts(x, set()) for x in nodes] for nodes in (a, b)]
+        self.common = set().union(*below[0]) & set().union(*below[1])
+        (self.a, self.a_nodes, self.a_shape, self.a_texts), (self.b, self.b_nodes, self.b_shape, self.b_texts) = (self._sorted_out(*x) for x in zip((a, b), below, strict=True))
+        self.holders: dict[str, list[int]] = {}
+        for k, texts in enumerate(self.b_texts):
+            for t in texts:
+                self.holders.setdefault(t, []).append(k)
+        self.by_tag: dict[str, dict[int, list[int]]] = {}
+        for k, (node, shape) in enumerate(zip(self.b_nodes, self.b_shape, strict=True)):
+            self.by_tag.setdefault(node.tag, {}).setdefault(shape, []).append(k)
+        self.b_shapes, self.b_places = np.asarray(self.b_shape), np.asarray(self.b)
+        self.rows: dict[int, np.ndarray] = {}
+
+    def _ids(self, node) -> tuple[int, int]:
+        """Numbers of a node's shape and of the node without the texts that only one list has."""
+        below = [self._ids(c) for c in node.children]
+        own = frozenset(self.common.intersection(node.texts)) if node.tag == "#" else None
+        shape = self.shapes.setdefault((node.tag, tuple(x for x, _ in below)), len(self.shapes))
+        return shape, self.kinds.setdefault((node.tag, own, tuple(x for _, x in below)), len(self.kinds))
+
+    def _sorted_out(self, nodes: list, below: list[set[str]]):
+        """For each node the number of its kind; for each kind a node, its shape and its texts that both lists have."""
+        numbers: dict[int, int] = {}
+        kind, first, shapes, texts = [], [], [], []
+        for node, own in zip(nodes, below, strict=True):
+            shape, k = self._ids(node)
+            if k not in numbers:
+                numbers[k] = len(first)
+                first.append(node)
+                shapes.append(shape)
+                texts.append(own & self.common)
+            kind.append(numbers[k])
+        return kind, first, shapes, texts
+
+    def row(self, i: int) -> np.ndarray:
+        """The weights of a's i-th node with all of b's; 0 for those of other tags."""
+        k = self.a[i]
+        if (found := self.rows.get(k)) is None:
+            node, shape, size = self.a_nodes[k], self.a_shape[k], len(self.shapes)
+            sharing = {j for t in self.a_texts[k] for j in self.holders.get(t, ()) if self.b_nodes[j].tag == node.tag}
+            blind = self.blind.setdefault(shape, np.zeros(size, np.int64))
+            for other, kinds in self.by_tag.get(node.tag, {}).items():
+                if not blind[other] and (j := next((j for j in kinds if j not in sharing), None)) is not None:
+                    blind[other] = _weight(node, self.b_nodes[j], self.known)
+            weights = blind[self.b_shapes]
+            for j in sharing:
+                weights[j] = _weight(node, self.b_nodes[j], self.known)
+            found = weights[self.b_places]
+            if len(self.rows) > 256:
+                self.rows.clear()
+            self.rows[k] = found
+        return found
+
+    def totals(self, rows, lo: int, hi: int, back: bool = False, marks: list | None = None) -> np.ndarray:
+        """The greatest weights of the rows with the first 0, 1, ... of b's nodes lo to hi, or with back the last ones. marks
+        gets, of each row, where the total is that of the row before and where it is that of one node less."""
+        best = np.zeros(hi - lo + 1, np.int64)
+        for i in rows:
+            own = self.row(i)[lo:hi]
+            step = best[:-1] + (own[::-1] if back else own)
+            np.maximum(step, best[1:], out=step)
+            np.maximum.accumulate(step, out=step)
+            if marks is not None:
+                marks.append((np.packbits(step == best[1:]), np.packbits(step == np.append(0, step[:-1]))))
+            best[1:] = step
+        return best
+
+    def pairs(self, first: int, last: int, lo: int, hi: int) -> list[tuple[int, int]]:
+        """The pairs of a match of greatest weight of a's nodes first to last with b's nodes lo to hi."""
+        if first >= last or lo >= hi:
+            return []
+        if last - first > 1 and (last - first) * (hi - lo) > CELLS:
+            middle = (first + last) // 2
+            both = self.totals(range(first, middle), lo, hi) + self.totals(range(last - 1, middle - 1, -1), lo, hi, back=True)[::-1]
+            cut = lo + int(both.argmax())
+            return self.pairs(first, middle, lo, cut) + self.pairs(middle, last, cut, hi)
+        marks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.totals(range(first, last), lo, hi, marks=marks)
+        out, i, j = [], last - first - 1, hi - lo - 1
+        while i >= 0 and j >= 0:
+            above, left = (bits[j >> 3] >> (7 - (j & 7)) & 1 for bits in marks[i])
+            if above:
+                i -= 1
+            elif left:
+                j -= 1
+            else:
+                out.append((first + i, lo + j))
+                i, j = i - 1, j - 1
+        return out[::-1]
 
 
 def match(a: list, b: list, known: dict | None = None) -> list[tuple[int, int]]:
     """Simple tree matching of two lists of children: the pairs of an order-preserving match of greatest weight.
 
-    In long lists only pairs at like places are looked at, so that the time is linear in their length. known keeps the
-    weights of pairs of nodes while neither changes.
+    Long lists are matched by LongLists, as whole as short ones. known keeps the weights of pairs of nodes while neither
+    changes.
     """
     if not a or not b:
         return []
+    if len(a) * len(b) > LONG:
+        return LongLists(a, b, {} if known is None else known).pairs(0, len(a), 0, len(b))
     # best chains by their last column: columns ascending, totals ascending, each with the pair before it
     columns, totals, ends = [], [], []
     for i, row in enumerate(_weights(a, b, {} if known is None else known)):
@@ -306,6 +414,8 @@ def size_of_match(a: list, b: list, known: dict | None = None) -> int:
     """The weight of match(a, b)."""
     if not a or not b:
         return 0
+    if len(a) * len(b) > LONG:
+        return int(LongLists(a, b, {} if known is None else known).totals(range(len(a)), 0, len(b))[-1])
     columns, totals = [], []
     for row in _weights(a, b, {} if known is None else known):
         for j, total in [(j, w + (totals[k - 1] if (k := bisect_left(columns, j)) else 0)) for j, w in row]:
