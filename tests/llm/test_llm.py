@@ -379,6 +379,16 @@ def test_match_against_trying_everything():
         assert weight == slow_match(a, b)
 
 
+def test_dedup_compares_two_classes_once(spark):
+    # in each of bands 0 to 9 classes 1 and 2 are of its main component, 3 and 4 are not; 5 is in band 0 only and too small for all
+    rows = [(band, node, 100, main, 1, 95, 0, 95) for band in range(10) for node, main in ((1, 1), (2, 1), (3, 3), (4, 4))] + [(0, 5, 30, 5, 1, 30, 0, 30)]
+    able = spark.createDataFrame(rows, "band long, node long, n long, component long, main long, within long, beyond long, most long")
+    assert sorted(tuple(r) for r in dedup.compared(able, 0.8).collect()) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    # main components differ from band to band: 1 is apart in band 7, 2 in band 8
+    rows = [(7, 1, 100, 1, 2, 95, 0, 95), (7, 2, 100, 2, 2, 95, 0, 95), (8, 1, 100, 1, 1, 95, 0, 95), (8, 2, 100, 2, 1, 95, 0, 95)]
+    assert [tuple(r) for r in dedup.compared(spark.createDataFrame(rows, able.schema), 0.8).collect()] == [(1, 2)]
+
+
 def test_long_lists_are_matched_whole(monkeypatch):
     def page(i: int, before: int) -> str:
         return "".join(f"<p>{i} first {j}</p>" for j in range(before)) + "<ul><li>Follow us</li></ul>" + "".join(f"<div>{i} then {j}</div>" for j in range(200))

@@ -282,6 +282,26 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return held.where("m = 1").groupBy("node").agg(F.count("*").alias("own"))
 
 
+def compared(able: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of classes of one band and two components that the bounds of able (band, node, n, component, main,
+    within, beyond, most) don't rule out, each once, however many bands hold both."""
+    share = threshold / (1 + threshold)
+    # the same bound against the least of sizes and the most of shingles in the band leaves out what can meet no other
+    bounds = able.groupBy("band").agg(F.min("n").alias("n_min"), F.max("within").alias("within_max"), F.max("beyond").alias("beyond_max"))
+    reach = F.least(F.col("most"), F.least("within", "within_max") + F.least("beyond", "beyond_max"))
+    least_n = F.greatest(F.col("n_min").cast("double"), F.col("n") * threshold)
+    strays = able.where("component <> main").join(bounds, "band").where(reach >= (F.col("n") + least_n) * share - 1e-6)
+    # two classes are compared in the first band that holds both, once: what a band's bounds rule out is no link in any other
+    held = able.groupBy("node").agg(F.collect_set("band").alias("bands"))
+    strays = strays.join(held, "node").select("band", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "component", "within", "beyond", "most", "bands")))
+    others = able.join(strays.select("band").distinct(), "band").withColumn("in_main", F.col("component") == F.col("main")).join(held, "node")
+    others = others.select("band", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "within", "beyond", "most", "bands", "in_main")))
+    reach = F.least("a_most", "b_most", F.least("a_within", "b_within") + F.least("a_beyond", "b_beyond"))
+    once = (F.col("b_in_main") | (F.col("a_node") < F.col("b_node"))) & (F.array_min(F.array_intersect("a_bands", "b_bands")) == strays["band"])
+    second = strays.join(others, (strays["band"] == others["band"]) & (F.col("a_component") != F.col("b_component")) & (reach >= (F.col("a_n") + F.col("b_n")) * share - 1e-6) & once)
+    return second.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weighting: str = "set", words: int = WORDS, bands: int = BANDS, rows: int = ROWS, detail: bool = False) -> DataFrame:
     """(id, class_id) of every row of docs: the least id that it is linked to, over any number of links.
 
@@ -328,17 +348,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     able = able.withColumn("beyond", F.when(F.col("node") == F.col("rep"), F.lit(0)).when(F.col("both").isNull(), F.col("n") - F.col("own")).otherwise(F.col("n") - F.col("both") - F.col("own")))
     able = able.withColumn("most", F.least(F.col("n") - F.col("own"), F.col("within") + F.col("beyond"))).where(F.col("most") >= F.col("n") * threshold - 1e-9)
     able = materialize(able.select("band", "node", "n", "component", "main", "within", "beyond", "most"), "dedup-able")
-    share = threshold / (1 + threshold)
-    # the same bound against the least of sizes and the most of shingles in the band leaves out what can meet no other
-    bounds = able.groupBy("band").agg(F.min("n").alias("n_min"), F.max("within").alias("within_max"), F.max("beyond").alias("beyond_max"))
-    reach = F.least(F.col("most"), F.least("within", "within_max") + F.least("beyond", "beyond_max"))
-    least_n = F.greatest(F.col("n_min").cast("double"), F.col("n") * threshold)
-    strays = able.where("component <> main").join(bounds, "band").where(reach >= (F.col("n") + least_n) * share - 1e-6)
-    strays = strays.select("band", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "component", "within", "beyond", "most")))
-    others = able.select("band", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "within", "beyond", "most")))
-    reach = F.least("a_most", "b_most", F.least("a_within", "b_within") + F.least("a_beyond", "b_beyond"))
-    second = strays.join(others, (strays["band"] == others["band"]) & (F.col("a_component") != F.col("b_component")) & (reach >= (F.col("a_n") + F.col("b_n")) * share - 1e-6))
-    second = second.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    second = compared(able, threshold).join(pairs, ["a", "b"], "left_anti")
     second = materialize(second, "dedup-pairs")
     ends = second.select(F.col("a").alias("node")).unionByName(second.select(F.col("b").alias("node"))).distinct()
     more = materialize(linked(overlaps(second, of_nodes(sets, ends)), threshold), "dedup-edges")
