@@ -138,3 +138,29 @@ def test_context_operators(spark):
     docs = spark.createDataFrame([(1, "it is, so we go")], "doc_id long, text string")
     assert [(r["token"], r["next_word"]) for r in context.next_words(docs).collect()] == [("it", "is"), ("is", None), ("so", "we"), ("we", "go"), ("go", None)]
     assert [r["vetoed"] for r in context.copula_vetoes(docs).collect()] == [False, True, False, True, False]
+
+
+def test_words_are_read_in_their_rows(spark):
+    entries = lexicon.lexicon(spark)
+    texts = ["The wind, IN the Thé Dr. Permit’s", "hmm HMM hm. lead-in bass", "", None, "ÎN in-the U.S.A.x R.S.V.P. 12 _a", "nulled read's don't 😀 présent", "O'Riley's wind", "She read it while he walked in.", "MacX in Oslo"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = resolve.resolve(docs, entries)
+    whole = resolve.Plan(plan.docs, plan.words, plan.claims)  # by rows of words and joins
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(resolve.counts(plan)) == rows(resolve.counts(whole))
+    assert rows(resolve.lexicon_map(plan)) == rows(resolve.lexicon_map(whole))
+    easy = resolve.resolve(docs.where("doc_id < 5"), entries)
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert (joins(resolve.counts(easy)), joins(resolve.lexicon_map(easy))) == (1, 0)
+    got = docs.select(tokens.token_array(F.col("text"), merged=True).alias("t"), F.regexp_extract_all("text", F.lit(tokens.MERGED), F.lit(0)).alias("m")).collect()
+    assert [r["t"] for r in got] == [r["m"] for r in got]
+    assert all(spark.range(1).select(F.lit(f"a {x} b").rlike(f"^a {tokens.SOON} b$").alias("x")).first()["x"] for x in abbreviations.SURFACES[::20])
+
+
+def test_lookups_in_python_are_those_of_the_join(spark):
+    rows = [(0, "a", "Word", "-", "1"), (1, "b", "word", "VERB", "2"), (1, "b", "word", "DEFAULT", None), (2, "c", "word", "-", "3"), (2, "c", "uber", "-", "4"), (0, "a", "two", "DEFAULT", "5"), (0, "a", "two", "-", "6")]
+    entries = spark.createDataFrame(rows, "tier_rank int, tier string, word string, variant string, ipa string")
+    asked = ["Word", "word", "WORD", "Über", "über", "ÜBER", "no", "two", "Two"]
+    want = lexicon.resolve(spark.createDataFrame([(w, None) for w in asked], "word string, pos string"), entries).collect()
+    readings = lexicon.Readings(rows)
+    assert {r["word"]: r["ipa"] for r in want} == {w: readings.ipa(w) for w in asked}

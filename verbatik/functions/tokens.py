@@ -23,6 +23,10 @@ TOKEN = rf"{WORD}(?:-{WORD})+|{WORD}(?:'{WORD})+|{WORD}|[^\p{{L}}\p{{M}}\p{{N}}_
 #: The same with adjacent tokens that make an abbreviation as one; the longest abbreviation wins. An abbreviation ends with a
 #: period and begins where a token does, so that it always covers whole tokens.
 MERGED = rf"(?:{abbreviations.ANY})|{TOKEN}"
+#: An abbreviation, looked for only where a period follows soon enough; and the words alone of the merged tokens, each run of
+#: letters read once. Both are for the JVM: RE2 has no lookahead.
+SOON = rf"(?=[A-Za-z][A-Za-z.]{{0,7}}\.)(?:{abbreviations.ANY})"
+WORDS = rf"{SOON}|{WORD}+(?:(?:-{WORD}+)++|(?:'{WORD}+)++)?"
 #: Marks that end a clause.
 MARKS = [".", "!", "?", ";", ":", ","]
 #: Rows whose tokens are laid out at once.
@@ -30,7 +34,12 @@ ROWS = 256
 
 
 def token_array(text: Column, merged: bool = False) -> Column:
-    return F.regexp_extract_all(text, F.lit(MERGED if merged else TOKEN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{SOON}|{TOKEN}" if merged else TOKEN), F.lit(0))
+
+
+def word_array(text: Column) -> Column:
+    """The merged tokens that are words."""
+    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
 def is_space(token: Column) -> Column:

@@ -26,13 +26,21 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(TIERS.index(t), t, w, v, i) for t, w, v, i in ENTRIES], "tier_rank int, tier string, word string, variant string, ipa string")
 
 
+def is_small(entries: DataFrame) -> bool:
+    """Whether there are no more than BROADCAST_ROWS entries, counted once."""
+    known = getattr(entries, "_is_small", None)
+    if known is None:
+        known = entries._is_small = entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return known
+
+
 def _table(entries: DataFrame) -> DataFrame:
     """(key, found): each word's rows in all tiers; broadcast if no more than BROADCAST_ROWS entries are counted, once."""
     known = getattr(entries, "_by_word", None)
     if known is None:
         row = F.struct("tier_rank", "tier", "variant", "ipa")
         known = entries.groupBy(F.col("word").alias("__key")).agg(F.collect_list(row).alias("__found"))
-        if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if is_small(entries):
             known = F.broadcast(known)
         entries._by_word = known
     return known
@@ -87,6 +95,30 @@ def resolve(words: DataFrame, entries: DataFrame) -> DataFrame:
     return best.select(*words.columns, *(F.col(f"__best.{c}").alias(c) for c in ("tier", "variant", "ipa")))
 
 
+class Readings:
+    """best_hit() without a tag for one word after the other, from the rows (tier_rank, tier, word, variant, ipa) of a lexicon."""
+
+    folds = str.maketrans(ACCENTED, PLAIN)
+
+    def __init__(self, rows):
+        self.rows: dict[str, list[tuple]] = {}
+        for rank, tier, word, variant, ipa in rows:
+            self.rows.setdefault(word, []).append((rank, tier, variant, ipa))
+
+    def ipa(self, word: str) -> str | None:
+        folded = word.translate(self.folds)
+        first: dict[int, list[tuple]] = {}
+        for form in (word, word.lower(), folded, folded.lower()):
+            new: dict[int, list[tuple]] = {}
+            for hit in self.rows.get(form, ()):
+                if hit[0] not in first:
+                    new.setdefault(hit[0], []).append(hit)
+            first |= new
+        steps = {"-": 0, None: 1, "DEFAULT": 3}
+        found = [(rank, steps[variant], ipa) for hits in first.values() for rank, _, variant, ipa in hits if variant in steps and ipa is not None]
+        return min(found)[2] if found else None
+
+
 def plain(words: DataFrame, entries: DataFrame) -> DataFrame:
     """words (word) with tier and ipa of plain entries; null for homographs and unknown words."""
     found = with_hits(words, entries).withColumn("__plain", plain_hit(F.col("hits")))

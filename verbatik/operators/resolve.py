@@ -9,6 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +45,13 @@ CLAIM = ["doc_id", "start", "stop", "word", "reason", "ipa", "alias", "provenanc
 
 @dataclass
 class Plan:
-    """docs (doc_id, text folded), words (tokens that are words, with ipa where a lookup gives one) and claims."""
+    """docs (doc_id, text folded), words (tokens that are words, with ipa where a lookup gives one) and claims; entries of the
+    lexicon where no tagger has a say."""
 
     docs: DataFrame
     words: DataFrame
     claims: DataFrame
+    entries: DataFrame | None = None
 
 
 def name_claims(docs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -100,8 +107,11 @@ def resolve(docs: DataFrame, entries: DataFrame, text: str = "text", tagger=None
     tagger maps a token table to one with a column tag (Noun, Verb, Adjective, Adverb, Determiner, Pronoun, Conjunction or
     another value); without one all tags are null and homographs have their DEFAULT reading. A null text has no tokens.
     """
-    spark = docs.sparkSession
-    folded = docs.select("doc_id", rewrite.fold_punctuation(F.col(text)).alias("text"))
+    return _resolved(docs.select("doc_id", rewrite.fold_punctuation(F.col(text)).alias("text")), entries, tagger)
+
+
+def _resolved(folded: DataFrame, entries: DataFrame, tagger=None) -> Plan:
+    spark = folded.sparkSession
     table = tokens.tagged(tokens.lay_out(folded, merged=True), tagger)
     solid = table.where(F.col("kind") != "space")
     solid = context.promote_verbs(solid) if tagger else solid.withColumn("promoted", F.lit(False))
@@ -120,7 +130,78 @@ def resolve(docs: DataFrame, entries: DataFrame, text: str = "text", tagger=None
     found = lexicon.resolve(asked, entries).select(F.col("word").alias("token"), F.col("ipa").alias("__ipa"), "tier")
     read = keyed.join(found, "token", "left").withColumn("ipa", F.coalesce(hum, "__ipa"))
     held = read.where(F.col("ipa").isNotNull()).select("doc_id", "pos", "ipa", F.when(hum.isNull(), F.col("tier")).alias("tier"))
-    return Plan(folded, words.select("doc_id", "pos", "token", "tag", "start", "stop").join(held, ["doc_id", "pos"], "left"), claims)
+    return Plan(folded, words.select("doc_id", "pos", "token", "tag", "start", "stop").join(held, ["doc_id", "pos"], "left"), claims, None if tagger else entries)
+
+
+#: Words that a task keeps the readings of.
+CACHE = 400_000
+
+
+def may_claim(text: Column) -> Column:
+    """Whether a name or a past tense can be in text, so that its words need offsets."""
+    some = text.rlike(rf"(?i)\b(?:{'|'.join(sorted({r[0] for r in PAST_RULES}))})\b")
+    past = F.lit(False)
+    for word, _, before, after in PAST_RULES:
+        past = past | text.rlike(rf"(?i)\b{before}\b{word}\b{after}")
+    name = (text.contains("O'") | text.contains("Mc") | text.contains("Mac")) & text.rlike(names.NAME)
+    return F.coalesce(name | (some & past), F.lit(False))
+
+
+def read_in_rows(folded: DataFrame, entries: DataFrame, listed: bool) -> DataFrame:
+    """Of texts (doc_id, text) that no name or past tense is in, without tags and with a lexicon that is broadcast: (doc_id,
+    plain, hom, oov) of every row or, listed, (doc_id, token, ipa) of its different words looked up. Within the row, no shuffle."""
+    spark = folded.sparkSession
+    # both are bounded by BROADCAST_ROWS
+    rules = {r["key"]: "DEFAULT" in r["variants"] for r in homograph_rules(spark, entries).select("key", "variants").collect()}
+    readings = lexicon.Readings(tuple(r) for r in entries.select("tier_rank", "tier", "word", "variant", "ipa").collect())
+    shared = spark.sparkContext.broadcast((rules, readings))
+    key = folded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        rules, readings = shared.value
+        hums, known = re.compile("[hH][mM]+"), {}
+
+        def read(word: str) -> tuple[int, str | None]:
+            """0 for a word with nothing, 1 and its reading for one looked up, 2 for a homograph."""
+            low = word.lower()
+            if low in rules:
+                return (2 if rules[low] else 0), None
+            ipa = "hˈmː" if hums.fullmatch(word) else readings.ipa(word)
+            return int(ipa is not None), ipa
+
+        for batch in batches:
+            lists, ids = batch.column(1), batch.column(0)
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            at, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            if len(known) > CACHE:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = read(w)
+            ways = np.fromiter((known[w][0] for w in words), np.int8, len(words))[at] if len(words) else np.zeros(0, np.int8)
+            if listed:
+                own = np.unique(row[ways == 1].astype(np.int64) * max(1, len(words)) + at[ways == 1])
+                place, word = own // max(1, len(words)), own % max(1, len(words))
+                held = [words[i] for i in word]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(place)), pa.array(held, pa.string()), pa.array([known[w][1] for w in held], pa.string())], names=["doc_id", "token", "ipa"])
+            else:
+                sums = [pa.array(np.bincount(row[ways == k], minlength=batch.num_rows).astype(np.int64)) for k in (1, 2, 0)]
+                yield pa.RecordBatch.from_arrays([ids, *sums], names=["doc_id", "plain", "hom", "oov"])
+
+    out = f"doc_id {key}, " + ("token string, ipa string" if listed else "plain long, hom long, oov long")
+    return folded.select("doc_id", tokens.word_array(F.col("text")).alias("words")).mapInArrow(run, out)
+
+
+def _parts(plan: Plan, listed: bool) -> tuple[DataFrame, Plan | None]:
+    """The rows that need no offsets, read in place, and a plan of the others; None if there are none, which a pass finds out.
+    The others stay in Spark's cache, as the plan reads them often."""
+    claims = may_claim(F.col("text"))
+    others = plan.docs.where(claims).persist()
+    if others.isEmpty():
+        others.unpersist()
+        return read_in_rows(plan.docs, plan.entries, listed), None
+    return read_in_rows(plan.docs.where(~claims), plan.entries, listed), _resolved(others, plan.entries)
 
 
 def provenance_label(provenance: Column, tier: Column, variant: Column) -> Column:
@@ -131,7 +212,19 @@ def provenance_label(provenance: Column, tier: Column, variant: Column) -> Colum
 
 
 def counts(plan: Plan) -> DataFrame:
-    """(doc_id, plain, hom, name, span, oov) of every document: words looked up, claims by reason, and words with nothing."""
+    """(doc_id, plain, hom, name, span, oov) of every document: words looked up, claims by reason, and words with nothing.
+
+    Without a tagger and with a lexicon that is broadcast only texts that may hold a name or a past tense are taken apart into
+    rows of words.
+    """
+    columns = ("plain", "hom", "name", "span", "oov")
+    if plan.entries is not None and lexicon.is_small(plan.entries):
+        own, rest = _parts(plan, listed=False)
+        own = own.select("doc_id", "plain", "hom", F.lit(0).cast("long").alias("name"), F.lit(0).cast("long").alias("span"), "oov")
+        if rest:
+            own = own.unionByName(counts(Plan(rest.docs, rest.words, rest.claims)).dropDuplicates(["doc_id"]))
+        found = own.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in columns))
+        return plan.docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
     own = plan.claims.groupBy("doc_id").agg(*(F.count_if(F.col("reason") == r).alias(n) for r, n in (("homograph", "hom"), ("properName", "name"), ("properNameFallback", "span"))))
     plain = plan.words.groupBy("doc_id").agg(F.count("ipa").alias("plain"))
     missed = spans.unclaimed(plan.words.where(F.col("ipa").isNull()), plan.claims).groupBy("doc_id").agg(F.count("*").alias("oov"))
@@ -146,8 +239,13 @@ def reasons(plan: Plan) -> DataFrame:
 
 def lexicon_map(plan: Plan) -> DataFrame:
     """(doc_id, lexicon map<string, array<string>>) of words looked up, one entry a word, its reading as single scalars."""
-    pairs = plan.words.where(F.col("ipa").isNotNull()).select("doc_id", "token", F.split("ipa", "").alias("scalars")).distinct()
-    return pairs.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "scalars")))).alias("lexicon"))
+    if plan.entries is not None and lexicon.is_small(plan.entries):
+        own, rest = _parts(plan, listed=True)
+        words = own.unionByName(rest.words.select("doc_id", "token", "ipa")) if rest else own
+    else:
+        words = plan.words
+    pairs = words.where(F.col("ipa").isNotNull()).select("doc_id", "token", F.split("ipa", "").alias("scalars"))
+    return pairs.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("token", "scalars")))).alias("lexicon"))
 
 
 def annotated(plan: Plan) -> DataFrame:
