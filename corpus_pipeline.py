@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatik.llm import bpe, dedup, language, mixing
-from verbatik.llm.common import discard, materialize, outlasting, scratch_of
+from verbatik.llm.common import discard, give_back, materialize, outlasting, scratch_of
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is determined; those without a letter, or without text, go."""
+    give_back(spark)
     model = language.train(docs, "text", "lang")
     return language.predict(docs, model).where(F.col("lang_pred") != language.UNDETERMINED).select(docs.columns)
 
@@ -20,9 +21,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without an id are documents like others. Repeated rows are copies of each other.
     """
+    give_back(spark)
     found = dedup.classes(docs, detail=True)
     kept = found.where(F.col("leads")).groupBy("id", "text_hash").agg(F.count("*").alias("times"))
     kept = materialize(kept, "pipeline-kept")
+    give_back(spark)
     rows = docs.withColumn("__hash", F.xxhash64("text"))
     once, more = kept.where("times = 1"), kept.where("times > 1")
     same = lambda own: F.col("doc_id").eqNullSafe(own["id"]) & (F.col("__hash") == own["text_hash"])
@@ -36,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that are equal in every column are taken as often as the mix takes them together.
     """
+    give_back(spark)
     names = docs.columns
     nulls = F.array(*(F.col(c).isNull() for c in names))  # a hash passes nulls over
     keyed = docs.withColumns({"__k1": F.xxhash64(nulls, *names), "__k2": F.xxhash64(F.lit(1), nulls, *reversed(names))})
@@ -50,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the text that they decode to."""
+    give_back(spark)
     return bpe.encode(docs).select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -610,3 +610,24 @@ def test_pipeline_mixes_rows_without_an_id_one_by_one(spark):
     got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
     times = collections.Counter((r[0], r[1]) for r in rows)
     assert sum(got.values()) == sum(want.values()) and all(n <= 2 * times[k] for k, n in got.items())
+
+
+def test_the_driver_gives_memory_back(spark):
+    import gc
+    import weakref
+
+    from verbatik.llm import common
+
+    class Held:
+        pass
+
+    gc.disable()
+    try:
+        held = Held()
+        held.own = held  # only the collector frees it
+        seen = weakref.ref(held)
+        del held
+        common.give_back(spark)
+        assert seen() is None
+    finally:
+        gc.enable()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -122,15 +123,27 @@ def expand(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
 
 
+def give_back(spark: SparkSession) -> None:
+    """What the driver's Python and JVM no longer use goes back to the system: a step's collected tables, plans and broadcasts
+    would else count beside those of the next one."""
+    gc.collect()
+    _trim()
+    spark._jvm.System.gc()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def trimmed(run):
     """run, which maps batches, and after its last batch the task's freed memory goes back to the system: a Python worker
     serves one stage after the other, and would keep the largest task's memory through all of them."""
 
     def mapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        _trim()
 
     return mapped
 

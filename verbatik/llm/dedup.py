@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import as_bytes, discard, materialize, table, trimmed
+from verbatik.llm.common import as_bytes, discard, give_back, materialize, table, trimmed
 
 #: Words in a shingle; least similarity; bands and rows of a band. At 0.8 a pair shares no band with probability 0.00007.
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
@@ -332,6 +332,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     counted = materialize(overlaps(pairs, sets), "dedup-counted")
     edges = materialize(linked(counted, threshold), "dedup-edges")
     labels = components(edges)
+    give_back(docs.sparkSession)
     # what a band holds besides its main component is compared with all of other components in it
     placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
